@@ -1,0 +1 @@
+"""Empty on purpose: the data model is one batch snapshot, with no event stream to follow."""
