@@ -71,7 +71,7 @@ def main(argv):
             message = f"{type(e).__name__}: {str(e)[:1500]}"
         bad += bool(message)
         kind = "sql " if name in ORACLES else "rows"
-        print(f"{time.time() - start:6.2f}s {kind} {name}: {message or 'ok'}", flush=True)
+        print(f"\n{time.time() - start:6.2f}s {kind} {name}: {message or 'ok'}", flush=True)
     print(f"{len(names)} queries, {bad} differ")
 
 

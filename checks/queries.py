@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers what it holds."""
 
-from checks import queries_load  # noqa: F401
+from checks import queries_kpi, queries_load  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401

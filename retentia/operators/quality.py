@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import pct, rounded
-from retentia.operators.ranks import exact_quantiles
+from retentia.operators.ranks import by_variable, exact_quantiles
 from retentia.schema import DOMAINS, EXPECTED_COLUMNS
 
 
@@ -302,38 +302,36 @@ def require_constraints(star):
 
 def iqr_outliers(df, cols):
     """Quartiles, fences and the rows outside them, per numeric column."""
-    q = exact_quantiles(df, cols, [0.25, 0.75])
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    fences = q.select(
-        "variable",
-        q1.alias("q1"),
-        q3.alias("q3"),
-        (q3 - q1).alias("iqr"),
-        (q1 - 1.5 * (q3 - q1)).alias("lo"),
-        (q3 + 1.5 * (q3 - q1)).alias("hi"),
-    )
-    fence = {
-        c: fences.where(F.col("variable") == c).select(F.struct("lo", "hi")).scalar() for c in cols
-    }
+    quartiles = by_variable(exact_quantiles(df, cols, [0.25, 0.75]))
+
+    def fences(c):
+        q1, q3 = quartiles[c][0], quartiles[c][1]
+        return q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+
+    def outside(c):
+        _, _, lo, hi = fences(c)
+        value = F.col(c).cast("double")
+        return (value < lo) | (value > hi)
+
     hits = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[
-            F.count_if(
-                (F.col(c).cast("double") < fence[c].getField("lo"))
-                | (F.col(c).cast("double") > fence[c].getField("hi"))
-            ).alias(c)
-            for c in cols
-        ],
-    )
-    hits = hits.unpivot(["_n"], cols, "variable", "n_outliers")
-    return fences.join(hits, "variable").select(
-        F.col("variable").alias("field"),
-        *[rounded(F.col(c), 2).alias(c) for c in ("q1", "q3", "iqr")],
-        rounded(F.col("lo"), 2).alias("lower_fence"),
-        rounded(F.col("hi"), 2).alias("upper_fence"),
-        "n_outliers",
-        pct(F.col("n_outliers"), F.col("_n")).alias("pct_outliers"),
+        F.count(F.lit(1)).alias("n"), *[F.count_if(outside(c)).alias(c) for c in cols]
     )
+    rows = []
+    for c in cols:
+        q1, q3, lo, hi = fences(c)
+        rows.append(
+            F.struct(
+                F.lit(c).alias("field"),
+                rounded(q1, 2).alias("q1"),
+                rounded(q3, 2).alias("q3"),
+                rounded(q3 - q1, 2).alias("iqr"),
+                rounded(lo, 2).alias("lower_fence"),
+                rounded(hi, 2).alias("upper_fence"),
+                F.col(c).alias("n_outliers"),
+                pct(F.col(c), F.col("n")).alias("pct_outliers"),
+            )
+        )
+    return hits.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def geography_key_safety(wide):

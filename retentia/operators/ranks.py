@@ -7,8 +7,6 @@ tie-break is part of the range key, so a value held by a third of all rows spans
 Only one summary row per range (at most the number of shuffle partitions) is ever gathered.
 """
 
-from functools import reduce
-
 from pyspark.sql import Window as W, functions as F
 
 from retentia.sources.staging import stage
@@ -150,9 +148,13 @@ def exact_quantiles(df, cols, probs, by=()):
     return at_probs.select(*keys, F.col("total").alias("n"), F.array(*lerp).alias("q"))
 
 
-def edges_of(quantiles, variable):
-    """The quantile array of one variable as a scalar subquery."""
-    return quantiles.where(F.col("variable") == variable).select("q").scalar()
+def by_variable(quantiles):
+    """All quantile arrays as one scalar: a map keyed by variable, read with [name][i].
+
+    The map has one entry per asked column, so it stays small whatever the table holds.
+    """
+    entry = F.struct("variable", "q")
+    return quantiles.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
 
 
 def edge_bin(value, edges):
@@ -164,7 +166,3 @@ def edge_bin(value, edges):
     distinct = F.array_distinct(edges)
     below = F.size(F.filter(distinct, lambda e: e < value.cast("double")))
     return F.greatest(below, F.lit(1))
-
-
-def any_of(columns):
-    return reduce(lambda a, b: a | b, columns)
