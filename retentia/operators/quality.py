@@ -305,7 +305,7 @@ def iqr_outliers(df, cols):
     quartiles = by_variable(exact_quantiles(df, cols, [0.25, 0.75]))
 
     def fences(c):
-        q1, q3 = quartiles[c][0], quartiles[c][1]
+        q1, q3 = F.col("q")[c][0], F.col("q")[c][1]
         return q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
 
     def outside(c):
@@ -313,8 +313,10 @@ def iqr_outliers(df, cols):
         value = F.col(c).cast("double")
         return (value < lo) | (value > hi)
 
-    hits = df.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(outside(c)).alias(c) for c in cols]
+    hits = (
+        df.select(*cols, quartiles.alias("q"))
+        .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(outside(c)).alias(c) for c in cols])
+        .withColumn("q", quartiles)
     )
     rows = []
     for c in cols:
