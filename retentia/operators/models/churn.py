@@ -1,6 +1,6 @@
 """Churn classifiers: comparison, tuning, final model, importances and batch scoring."""
 
-import statistics
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -10,19 +10,21 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import ladder
-from retentia.operators.models.evaluate import _quality, confusion
+from retentia.operators.models.evaluate import auc, confusion, quality_columns
 from retentia.operators.models.prep import (
     CHURN,
     CHURN_EXTENDED,
     Sizes,
     category_levels,
     encoding_stages,
-    in_parallel,
+    require_few_levels,
     slot_names,
-    with_balanced_weight,
+    training_folds,
     with_folds,
     with_split,
 )
+from retentia.session import in_parallel
+from retentia.sources.staging import stage
 
 LABEL = "churn_flag"
 OUTREACH_THRESHOLD = 0.10
@@ -59,71 +61,61 @@ def candidates(sizes, rows):
     }
 
 
-def fit_pipeline(train, estimator, features=CHURN):
+def fit_pipeline(train, estimator, features=CHURN, checked=False):
     """Encoding fitted on the training rows only, then the estimator."""
-    levels = category_levels(train, features)
+    levels = category_levels(train, features, checked)
     stages = [*encoding_stages(levels, features), estimator]
     return Pipeline(stages=stages).fit(train)
 
 
 def churn_probability(model, df, *keep):
-    """Kept columns plus `score`, the probability of churn."""
+    """Kept columns plus `score`, the probability of the positive label."""
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
-def fold_metrics(model, test):
-    scored = churn_probability(model, test, LABEL).persist()
-    try:
-        area = BinaryClassificationEvaluator(
-            rawPredictionCol="score", labelCol=LABEL, numBins=0
-        ).evaluate(scored)
-        precision, recall, f1 = _quality()
-        row = confusion(scored, LABEL).select(
-            precision.alias("precision"), recall.alias("recall"), f1.alias("f1")
-        ).first()
-        return {"roc_auc": area, **row.asDict()}
-    finally:
-        scored.unpersist()
-
-
-MODEL_SCHEMA = (
-    "model string, roc_auc_mean double, roc_auc_std double, precision_mean double,"
-    " recall_mean double, f1_mean double"
-)
+def fold_table(scored, label, groups):
+    """AUC, precision, recall and F1 per group and fold of held-out scores, then their means."""
+    by = [*groups, "fold"]
+    precision, recall, f1 = quality_columns()
+    per = confusion(scored, label, by=by).select(
+        *by, precision.alias("precision"), recall.alias("recall"), f1.alias("f1")
+    )
+    per = per.join(auc(scored, label, "score", by=by), by)
+    return per.groupBy(*groups).agg(
+        F.round(F.avg("auc"), 4).alias("roc_auc_mean"),
+        F.round(F.stddev_pop("auc"), 4).alias("roc_auc_std"),
+        F.round(F.avg("precision"), 4).alias("precision_mean"),
+        F.round(F.avg("recall"), 4).alias("recall_mean"),
+        F.round(F.avg("f1"), 4).alias("f1_mean"),
+    )
 
 
 def cross_validate(df, sizes=Sizes(), features=CHURN, names=None):
-    """Stratified k-fold comparison; folds run as concurrent Spark jobs."""
+    """Stratified k-fold comparison.
+
+    Models of all folds are fitted as concurrent Spark jobs; the held-out scores of all of them
+    form one staged table, and every metric comes from that table at once.
+    """
     keep = [*features.columns, LABEL, "customer_id"]
     folded = with_folds(df.select(*keep), LABEL, sizes.folds)
-    rows = folded.count()
-
-    def one(name, fold):
-        def run():
-            train = with_balanced_weight(folded.where(F.col("fold") != fold), LABEL)
-            model = fit_pipeline(train, candidates(sizes, rows)[name], features)
-            return fold_metrics(model, folded.where(F.col("fold") == fold))
-
-        return run
-
+    require_few_levels(folded, features)
+    frames, rows = training_folds(folded, LABEL, sizes.folds)
     names = names or list(candidates(sizes, rows))
     jobs = [(n, f) for n in names for f in range(sizes.folds)]
-    results = in_parallel([one(n, f) for n, f in jobs])
-    table = []
-    for name in names:
-        mine = [r for (n, _), r in zip(jobs, results) if n == name]
-        avg = lambda m: round(statistics.fmean(r[m] for r in mine), 4)
-        table.append(
-            (
-                name,
-                avg("roc_auc"),
-                round(statistics.pstdev(r["roc_auc"] for r in mine), 4),
-                avg("precision"),
-                avg("recall"),
-                avg("f1"),
-            )
+    models = in_parallel(
+        [
+            lambda n=n, f=f: fit_pipeline(frames[f], candidates(sizes, rows)[n], features, True)
+            for n, f in jobs
+        ]
+    )
+    held_out = [
+        churn_probability(m, folded.where(F.col("fold") == f), LABEL, "fold").withColumn(
+            "model", F.lit(n)
         )
-    return df.sparkSession.createDataFrame(table, MODEL_SCHEMA)
+        for (n, f), m in zip(jobs, models)
+    ]
+    scored = stage(reduce(lambda a, b: a.unionByName(b), held_out), "held-out")
+    return fold_table(scored, LABEL, ["model"])
 
 
 def compare_feature_sets(df, sizes=Sizes()):
@@ -165,7 +157,7 @@ def tuning_table(spark, tuned):
     for point, score in zip(tuned.getEstimatorParamMaps(), tuned.avgMetrics):
         named = {p.name: v for p, v in point.items()}
         rows.append(
-            (named["maxIter"], named["maxDepth"], float(named["stepSize"]), round(score, 4))
+            (named["maxIter"], named["maxDepth"], float(named["stepSize"]), round(float(score), 4))
         )
     schema = "rounds int, depth int, step double, roc_auc_mean double"
     return spark.createDataFrame(rows, schema).orderBy(F.desc("roc_auc_mean"), "rounds", "depth", "step")

@@ -28,9 +28,10 @@ def auc(df, label="label", score="score", by=()):
     return ordered.groupBy(*by).agg(area) if by else ordered.agg(area)
 
 
-def confusion(df, label="label", score="score", threshold=0.5):
+def confusion(df, label="label", score="score", threshold=0.5, by=()):
+    """Counts of the four outcomes at a threshold, per group."""
     yes, hit = F.col(label) == 1, F.col(score) >= threshold
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count_if(yes & hit).alias("tp"),
         F.count_if(~yes & hit).alias("fp"),
         F.count_if(yes & ~hit).alias("fn"),
@@ -38,7 +39,8 @@ def confusion(df, label="label", score="score", threshold=0.5):
     )
 
 
-def _quality():
+def quality_columns():
+    """Precision, recall and F1 from the counts of `confusion`; 0 where undefined."""
     tp = F.col("tp").cast("double")
     precision = F.coalesce(F.try_divide(tp, tp + F.col("fp")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(tp, tp + F.col("fn")), F.lit(0.0))
@@ -48,7 +50,7 @@ def _quality():
 
 def test_metrics(df, label="label", score="score", threshold=0.5):
     """AUC, precision, recall, F1 and the confusion matrix, in one row."""
-    precision, recall, f1 = _quality()
+    precision, recall, f1 = quality_columns()
     return (
         confusion(df, label, score, threshold)
         .withColumn("auc", auc(df, label, score).scalar())

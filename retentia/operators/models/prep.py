@@ -1,9 +1,7 @@
 """Features, folds and class weights shared by the models."""
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from retentia.operators.ranks import global_order
 from retentia.schema import ADDONS
+from retentia.sources.staging import stage
 
 MAX_LEVELS = 1000
 
@@ -80,13 +79,20 @@ class TooManyLevels(ValueError):
     pass
 
 
-def category_levels(train, features):
-    """Sorted levels per categorical column, for columns with more than one level."""
+def require_few_levels(df, features):
+    """Levels become feature slots and travel through the driver, so their number is checked."""
     cats = features.categorical
-    sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
     wide = [c for c in cats if sizes[c] > MAX_LEVELS]
     if wide:
         raise TooManyLevels(f"too many levels to encode: {wide}")
+
+
+def category_levels(train, features, checked=False):
+    """Sorted levels per categorical column, for columns with more than one level."""
+    if not checked:
+        require_few_levels(train, features)
+    cats = features.categorical
     row = train.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cats]).first()
     return {c: list(row[c]) for c in cats if len(row[c]) > 1}
 
@@ -159,31 +165,47 @@ def stratified_position(df, label, id_col="customer_id"):
 
 
 def with_split(df, label, id_col="customer_id", train_pct=80):
-    """Add the boolean `is_train`; each label keeps its share on both sides."""
+    """Add the boolean `is_train`; each label keeps its share on both sides.
+
+    Staged in one folder per side, as fitting reads its rows many times.
+    """
     placed = stratified_position(df, label, id_col)
     cut = F.floor(F.col("_label_n") * train_pct / 100)
-    return placed.withColumn("is_train", F.col("_pos") <= cut).drop("_pos", "_label_n")
+    split = placed.withColumn("is_train", F.col("_pos") <= cut).drop("_pos", "_label_n")
+    return stage(split, "split", ["is_train"])
 
 
 def with_folds(df, label, k, id_col="customer_id"):
-    """Add `fold` in 0..k-1, dealt out in turn inside each label."""
+    """Add `fold` in 0..k-1, dealt out in turn inside each label; staged in one folder per fold."""
     placed = stratified_position(df, label, id_col)
-    return placed.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop(
-        "_pos", "_label_n"
-    )
+    fold = ((F.col("_pos") - 1) % k).cast("int")
+    return stage(placed.withColumn("fold", fold).drop("_pos", "_label_n"), "folds", ["fold"])
 
 
-def with_balanced_weight(df, label, name="weight"):
-    """n / (2 * n_label), so both labels weigh the same in total."""
-    n = {r[label]: r["c"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
-    whole = sum(n.values())
+def balanced_weight(counts, label):
+    """n / (2 * n_label) from label counts, so both labels weigh the same in total."""
+    whole = sum(counts.values())
     weight = F.lit(1.0)
-    for value, count in n.items():
+    for value, count in counts.items():
         weight = F.when(F.col(label) == value, whole / (2 * count)).otherwise(weight)
-    return df.withColumn(name, weight)
+    return weight
 
 
-def in_parallel(tasks, width=4):
-    """Run independent Spark jobs from a few driver threads, results in order."""
-    with ThreadPool(min(width, len(tasks))) as pool:
-        return pool.map(lambda task: inheritable_thread_target(task)(), tasks)
+def with_balanced_weight(df, label, name="weight"):
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()
+    return df.withColumn(name, balanced_weight({r[label]: r["c"] for r in rows}, label))
+
+
+def training_folds(folded, label, k, name="weight"):
+    """The k training frames (all folds but one) with balanced weights, from one count."""
+    rows = folded.groupBy("fold", label).agg(F.count(F.lit(1)).alias("c")).collect()
+    frames = []
+    for fold in range(k):
+        counts = {}
+        for r in rows:
+            if r.fold != fold:
+                counts[r[label]] = counts.get(r[label], 0) + r.c
+        frames.append(
+            folded.where(F.col("fold") != fold).withColumn(name, balanced_weight(counts, label))
+        )
+    return frames, sum(r.c for r in rows)

@@ -1,6 +1,5 @@
 """Which add-on to offer next: a propensity model per service, best service per customer."""
 
-import statistics
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -13,11 +12,14 @@ from retentia.operators.models.evaluate import auc
 from retentia.operators.models.prep import (
     UPSELL,
     Sizes,
-    in_parallel,
+    require_few_levels,
+    training_folds,
     with_balanced_weight,
     with_folds,
 )
 from retentia.schema import ADDONS
+from retentia.session import in_parallel
+from retentia.sources.staging import stage
 
 TARGET = "holds_service"
 
@@ -45,36 +47,36 @@ def fit_service(df, service, sizes=Sizes()):
 
 
 def service_metrics(df, sizes=Sizes(), services=ADDONS):
-    """Eligible customers, adoption rate and cross-validated AUC per service."""
+    """Eligible customers, adoption rate and cross-validated AUC per service.
 
-    def fold_scores(folded, fold):
-        def run():
-            train = with_balanced_weight(folded.where(F.col("fold") != fold), TARGET)
-            model = fit_pipeline(train, _forest(sizes), UPSELL)
-            scored = churn_probability(model, folded.where(F.col("fold") == fold), TARGET)
-            return auc(scored, TARGET, "score").first().auc
-
-        return run
-
-    rows = []
+    Held-out scores of all services and folds form one staged table.
+    """
+    require_few_levels(df, UPSELL)
+    tasks, held = [], []
     for service in services:
         folded = with_folds(training_rows(df, service), TARGET, sizes.folds)
-        size = folded.agg(F.count(F.lit(1)).alias("n"), F.avg(TARGET).alias("rate")).first()
-        areas = in_parallel([fold_scores(folded, f) for f in range(sizes.folds)])
-        rows.append(
-            (
-                service,
-                size.n,
-                round(100 * size.rate, 2),
-                round(statistics.fmean(areas), 4),
-                round(statistics.pstdev(areas), 4),
-            )
-        )
-    schema = (
-        "service string, n_eligible_customers long, current_adoption_rate_pct double,"
-        " cv_roc_auc_mean double, cv_roc_auc_std double"
+        frames, _ = training_folds(folded, TARGET, sizes.folds)
+        for fold, frame in enumerate(frames):
+            tasks.append(lambda frame=frame: fit_pipeline(frame, _forest(sizes), UPSELL, True))
+            held.append((service, folded.where(F.col("fold") == fold)))
+    models = in_parallel(tasks)
+    parts = [
+        churn_probability(m, rows, TARGET, "fold").withColumn("service", F.lit(service))
+        for m, (service, rows) in zip(models, held)
+    ]
+    scored = stage(reduce(lambda a, b: a.unionByName(b), parts), "held-out")
+    areas = auc(scored, TARGET, "score", by=["service", "fold"])
+    sizes_per = scored.groupBy("service").agg(
+        F.count(F.lit(1)).alias("n_eligible_customers"),
+        F.round(100 * F.avg(TARGET), 2).alias("current_adoption_rate_pct"),
+    )
+    return sizes_per.join(
+        areas.groupBy("service").agg(
+            F.round(F.avg("auc"), 4).alias("cv_roc_auc_mean"),
+            F.round(F.stddev_pop("auc"), 4).alias("cv_roc_auc_std"),
+        ),
+        "service",
     )
-    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def non_adopters(df, service, active_only=False):

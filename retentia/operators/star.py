@@ -115,15 +115,14 @@ def build_dim_churn_reason(wide):
     return number_few_rows(dim, ["churn_reason"], "churn_reason_key")
 
 
-def build_dims(wide):
-    return {
-        "dim_customer": build_dim_customer(wide),
-        "dim_geography": build_dim_geography(wide),
-        "dim_plan": build_dim_plan(wide),
-        "dim_payment_method": build_dim_payment_method(wide),
-        "dim_tenure_cohort": build_dim_tenure_cohort(wide),
-        "dim_churn_reason": build_dim_churn_reason(wide),
-    }
+DIMENSIONS = {
+    "dim_customer": build_dim_customer,
+    "dim_geography": build_dim_geography,
+    "dim_plan": build_dim_plan,
+    "dim_payment_method": build_dim_payment_method,
+    "dim_tenure_cohort": build_dim_tenure_cohort,
+    "dim_churn_reason": build_dim_churn_reason,
+}
 
 
 def build_fact_subscription(wide, dims):

@@ -13,11 +13,12 @@ from retentia.operators.quality import (
     run_validation,
 )
 from retentia.operators.star import (
+    DIMENSIONS,
     Star,
-    build_dims,
     build_fact_subscription,
     require_resolved_keys,
 )
+from retentia.session import in_parallel
 from retentia.sources.fixtures import cross_reference, raw_subscribers
 from retentia.sources.staging import new_path
 from retentia.sources.tables import (
@@ -42,11 +43,16 @@ class Warehouse:
 
 
 def build_star(spark, wide, root):
-    """Dimensions are written and read back before the fact is joined to them."""
-    dims = {}
-    for name, df in build_dims(wide).items():
-        write_table(df, f"{root}/{name}")
-        dims[name] = spark.read.parquet(f"{root}/{name}")
+    """Dimensions are written side by side and read back before the fact is joined to them."""
+
+    def write(name):
+        def run():
+            write_table(DIMENSIONS[name](wide), f"{root}/{name}")
+            return spark.read.parquet(f"{root}/{name}")
+
+        return run
+
+    dims = dict(zip(DIMENSIONS, in_parallel([write(name) for name in DIMENSIONS])))
     write_fact(build_fact_subscription(wide, dims), f"{root}/fact_subscription")
     star = load_star(spark, root)
     require_resolved_keys(star.fact_subscription, wide)

@@ -1,5 +1,8 @@
 """Session settings the jobs are written for."""
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -29,3 +32,10 @@ def build_local(cores="*", shuffle_partitions=8, memory="8g", **extra):
             **extra,
         }
     )
+
+
+def in_parallel(tasks, width=4):
+    """Run independent Spark jobs from a few driver threads, results in order."""
+    with ThreadPool(min(width, len(tasks))) as pool:
+        inherit = inheritable_thread_target(SparkSession.active())
+        return pool.map(lambda task: inherit(task)(), tasks)

@@ -35,9 +35,9 @@ def new_path(spark, label) -> str:
     return path
 
 
-def stage(df, label="table"):
-    """Write df once and return a frame that reads it back."""
+def stage(df, label="table", by=()):
+    """Write df once, in folders by the given columns, and return a frame that reads it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
