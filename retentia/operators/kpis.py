@@ -144,10 +144,8 @@ RFM_VALUES = {
 
 
 def rfm_ntiles(df, tie="customer_id", k=5):
-    """Three NTILE columns over the whole table; each sort carries only what is still needed."""
-    for name, value in RFM_VALUES.items():
-        df = with_ntile(df, value, tie, k, name)
-    return df
+    """The three quintile columns."""
+    return with_ntile(df, RFM_VALUES, tie, k)
 
 
 def _rfm_total():
@@ -211,7 +209,7 @@ def kpi_by_payment(star):
 
 
 def with_score_decile(df, tie="customer_key", k=10):
-    return with_ntile(df, "churn_score", tie, k, "churn_score_decile")
+    return with_ntile(df, {"churn_score_decile": "churn_score"}, tie, k)
 
 
 def score_deciles(star, k=10):

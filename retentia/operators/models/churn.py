@@ -61,9 +61,19 @@ def candidates(sizes, rows):
     }
 
 
-def fit_pipeline(train, estimator, features=CHURN, checked=False):
-    """Encoding fitted on the training rows only, then the estimator."""
-    levels = category_levels(train, features, checked)
+def spread(df):
+    """Small inputs arrive in few partitions; give every core a share of the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fit_pipeline(train, estimator, features=CHURN, in_fold=False):
+    """Encoding fitted on the training rows only, then the estimator.
+
+    in_fold: one of several concurrent fits, which share the cores and had their levels checked.
+    """
+    levels = category_levels(train, features, in_fold)
+    train = train if in_fold else spread(train)
     stages = [*encoding_stages(levels, features), estimator]
     return Pipeline(stages=stages).fit(train)
 

@@ -9,6 +9,7 @@ Only one summary row per range (at most the number of shuffle partitions) is eve
 
 from pyspark.sql import Window as W, functions as F
 
+from retentia.session import in_parallel
 from retentia.sources.staging import stage
 
 POS_BITS = 33  # row position inside a partition, as monotonically_increasing_id lays it out
@@ -94,12 +95,43 @@ def ntile_of(rn, n, k):
     return F.when(rn <= wide, small).otherwise(rest).cast("int")
 
 
-def with_ntile(df, value, tie, k, name, extra_sums=()):
-    """Add NTILE(k) OVER (ORDER BY value, tie) over the whole table."""
-    ordered = global_order(df, [value, tie], label=f"ntile-{name}")
-    return ordered.withColumn(name, ntile_of(F.col("rn"), F.col("n"), k)).drop(
-        "rn", "n", "_at", "_range"
-    )
+def tile_ends(df, value, tie, tile):
+    """The last row of every tile as a scalar: array of (v, t, tile), in order.
+
+    Only value and tie-break are sorted; the array has one entry per tile.
+    """
+    ordered = global_order(df.select(value, tie), [value, tie], label=f"tiles-{value}")
+    rn, n = F.col("rn"), F.col("n")
+    last = (rn == n) | (tile(rn, n) < tile(rn + 1, n))
+    end = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"), tile(rn, n).alias("tile"))
+    return ordered.where(last).agg(F.sort_array(F.collect_list(end)).alias("ends")).scalar()
+
+
+def with_tiles(df, values, tie, tile):
+    """Add one tile number per entry of `values` (new name -> value column).
+
+    tile(rn, n) gives the tile of a row number under the order (value, tie) of the whole table.
+    The sorts see two columns each and run side by side; the rows of df themselves are not moved,
+    each is compared with the few tile ends.
+    """
+    tasks = [lambda v=v: tile_ends(df, v, tie, tile) for v in values.values()]
+    ends = dict(zip(values, in_parallel(tasks)))
+    out = df.withColumns({f"_ends_{name}": e for name, e in ends.items()})
+
+    def number(name, value):
+        here = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))
+        ahead = F.filter(
+            F.col(f"_ends_{name}"), lambda e: F.struct(e["v"].alias("v"), e["t"].alias("t")) >= here
+        )
+        return F.get(ahead, F.lit(0))["tile"]
+
+    numbered = out.withColumns({name: number(name, value) for name, value in values.items()})
+    return numbered.drop(*[f"_ends_{name}" for name in values])
+
+
+def with_ntile(df, values, tie, k):
+    """Add NTILE(k) OVER (ORDER BY value, tie) over the whole table, per entry of `values`."""
+    return with_tiles(df, values, tie, lambda rn, n: ntile_of(rn, n, k))
 
 
 def value_counts(df, cols, by=()):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import churn_rate, customers, mean, rfm_label, rounded
 from retentia.operators.explore import city_stats
 from retentia.operators.kpis import RFM_VALUES
-from retentia.operators.ranks import global_order
+from retentia.operators.ranks import with_tiles
 
 RESULT_COLUMNS = [
     "customer_id",
@@ -141,10 +141,6 @@ def rank_bin(rn, n, k):
 
 def rfm_by_rank(df, k=5, tie="customer_id"):
     """Quintiles of the row number, ties in id order; edges differ from NTILE by about a row."""
-    for name, value in RFM_VALUES.items():
-        ordered = global_order(df, [value, tie], label=f"rank-{name}")
-        df = ordered.withColumn(name, rank_bin(F.col("rn"), F.col("n"), k)).drop(
-            "rn", "n", "_at", "_range"
-        )
+    df = with_tiles(df, RFM_VALUES, tie, lambda rn, n: rank_bin(rn, n, k))
     score = sum((F.col(c) for c in RFM_VALUES), F.lit(0)).cast("int")
     return df.withColumn("rfm_score", score).withColumn("segment", rfm_label(F.col("rfm_score")))

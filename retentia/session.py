@@ -29,6 +29,7 @@ def build_local(cores="*", shuffle_partitions=8, memory="8g", **extra):
             "spark.sql.shuffle.partitions": str(shuffle_partitions),
             "spark.driver.memory": memory,
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             **extra,
         }
     )

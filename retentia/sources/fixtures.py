@@ -4,6 +4,8 @@ Every customer with at least one order becomes a subscriber: order history gives
 charges and churn, line items give the add-ons, and the customer key gives the demographics.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import one_of, rounded
@@ -24,11 +26,11 @@ SEGMENT_CONTRACT = {
     "MACHINERY": "Two year",
 }
 PRIORITY_PAYMENT = {
-    "1": "Electronic check",
-    "2": "Mailed check",
-    "3": "Bank transfer (automatic)",
-    "4": "Credit card (automatic)",
-    "5": "Electronic check",
+    1: "Electronic check",
+    2: "Mailed check",
+    3: "Bank transfer (automatic)",
+    4: "Credit card (automatic)",
+    5: "Electronic check",
 }
 ADDON_MIN_ITEMS = 7
 
@@ -52,12 +54,10 @@ def customer_history(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         "o_custkey",
-        "o_orderstatus",
-        "o_orderpriority",
         F.col("o_orderdate").cast("date").alias("day"),
         F.col("o_totalprice").cast(MONEY).alias("price"),
+        latest_code().alias("code"),
     )
-    latest = F.struct("day", "o_orderkey")
     return (
         orders.join(items, orders.o_orderkey == items.l_orderkey, "left")
         .groupBy("o_custkey")
@@ -65,9 +65,27 @@ def customer_history(spark, sf_dir):
             F.min("day").alias("first_day"),
             F.max("day").alias("last_day"),
             F.sum("price").alias("spend"),
-            F.max_by(F.struct("o_orderpriority", "o_orderstatus"), latest).alias("latest"),
+            F.max("code").alias("code"),
             *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(6)],
         )
+        .withColumn("latest", (F.col("code") % 100).cast("int"))
+    )
+
+
+def latest_code():
+    """Day, order key, priority digit and status digit as one number.
+
+    Its maximum per customer carries priority and status of the latest order (ties on a day go
+    to the larger key), and a plain maximum keeps the aggregate hash-based, without a sort.
+    """
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    status = one_of(F.col("o_orderstatus"), {"F": 0, "O": 1}, 2)
+    digits = F.substring("o_orderpriority", 1, 1).cast("int") * 10 + status
+    ranked = day.cast("decimal(6,0)") * F.lit(Decimal(10**19)) + F.col(
+        "o_orderkey"
+    ).cast("decimal(19,0)")
+    return (ranked * F.lit(Decimal(100)) + digits.cast("decimal(2,0)")).cast(
+        "decimal(38,0)"
     )
 
 
@@ -94,7 +112,7 @@ def raw_subscribers(spark, sf_dir):
                 "tenure": F.least(
                     F.lit(72), (F.datediff("last_day", "first_day") / 30).cast("int")
                 ),
-                "prio": F.substring("latest.o_orderpriority", 1, 1),
+                "prio": F.floor(F.col("latest") / 10).cast("int"),
             }
         )
         .withColumn("churned", F.col("gap") > 240)
@@ -105,8 +123,7 @@ def raw_subscribers(spark, sf_dir):
     phone = yes(k % 10 != 0)
     lat = (F.lit(30) + F.col("c_nationkey") * 0.25 + (k % 4) * 0.01).cast("decimal(9,6)")
     lon = (F.lit(-100) - F.col("c_nationkey") * 0.5).cast("decimal(9,6)")
-    status = one_of(F.col("latest.o_orderstatus"), {"F": 0, "O": 1}, 2)
-    reason_no = (F.col("prio").cast("int") - 1) * 4 + status + (k % 2).cast("int")
+    reason_no = (F.col("prio") - 1) * 4 + F.col("latest") % 10 + (k % 2).cast("int")
     monthly = F.col("spend").cast("double") / F.greatest("tenure", F.lit(1)) / 100
     addon = lambda i: (
         F.when(internet == "No", F.lit(NO_INTERNET)).otherwise(

@@ -80,12 +80,18 @@ def test_ntile_formula(spark, n, k):
 
 
 def test_ntile_with_ties(many_ranges, data):
-    got = with_ntile(many_ranges.createDataFrame(data), "value", "id", 5, "t").toPandas()
+    got = with_ntile(many_ranges.createDataFrame(data), {"t": "value"}, "id", 5).toPandas()
     order = data.sort_values(["value", "id"]).id.tolist()
     assert got.groupby("t").size().tolist() == [120] * 5
     assert set(got[got.t == 1].id) == set(order[:120])
 
 
+def test_ntile_of_fewer_rows_than_tiles(many_ranges):
+    df = many_ranges.createDataFrame([(5, "b"), (5, "a"), (None, "c")], "value int, id string")
+    got = with_ntile(df, {"t": "value"}, "id", 10).orderBy("id").collect()
+    assert [r.t for r in got] == [2, 3, 1]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_quantiles_match_numpy(many_ranges, seed):
     data = skewed(401, seed)
