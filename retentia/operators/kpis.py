@@ -112,17 +112,20 @@ def kpi_cohort_progression(star):
 def top_churned_by_value(star, n=5):
     """The n churned customers of highest lifetime value per contract.
 
-    The rank filter lets Spark keep n rows per contract in each task before the shuffle.
+    Customer keys follow customer ids, so they break ties the same way, and names are looked up
+    for the few rows that are left. The rank filter keeps n rows per contract in each task before
+    the shuffle.
     """
-    lost = star_view(star, "customer_id", "contract_type", "churn_reason").where(
-        F.col("churn_flag") == 1
-    )
+    lost = star_view(star, "contract_type").where(F.col("churn_flag") == 1)
     place = F.row_number().over(
-        W.partitionBy("contract_type").orderBy(F.desc("cltv"), "customer_id")
+        W.partitionBy("contract_type").orderBy(F.desc("cltv"), "customer_key")
+    )
+    best = lost.withColumn("cltv_rank_within_contract", place).where(
+        F.col("cltv_rank_within_contract") <= n
     )
     return (
-        lost.withColumn("cltv_rank_within_contract", place)
-        .where(F.col("cltv_rank_within_contract") <= n)
+        best.join(star.dim_customer.select("customer_key", "customer_id"), "customer_key")
+        .join(star.dim_churn_reason, "churn_reason_key")
         .select(
             "customer_id",
             "contract_type",
@@ -143,7 +146,7 @@ RFM_VALUES = {
 }
 
 
-def rfm_ntiles(df, tie="customer_id", k=5):
+def rfm_ntiles(df, tie="customer_key", k=5):
     """The three quintile columns."""
     return with_ntile(df, RFM_VALUES, tie, k)
 
@@ -152,23 +155,27 @@ def _rfm_total():
     return sum((F.col(c) for c in RFM_VALUES), F.lit(0)).cast("int")
 
 
-def rfm_scores(star, k=5):
-    base = star_view(star, "customer_id").select(
-        "customer_id", "churn_flag", *RFM_VALUES.values()
+def rfm_facts(star, k=5):
+    """Quintiles, total and segment per fact row, before any name is joined."""
+    base = star.fact_subscription.select("customer_key", "churn_flag", *RFM_VALUES.values())
+    return (
+        rfm_ntiles(base, "customer_key", k)
+        .withColumn("rfm_proxy_score", _rfm_total())
+        .withColumn("rfm_segment", rfm_label(F.col("rfm_proxy_score")))
     )
-    return rfm_ntiles(base, k=k).select(
-        "customer_id",
-        *RFM_VALUES,
-        _rfm_total().alias("rfm_proxy_score"),
-        "churn_flag",
-        rfm_label(_rfm_total()).alias("rfm_segment"),
+
+
+def rfm_scores(star, k=5):
+    ids = star.dim_customer.select("customer_key", "customer_id")
+    return rfm_facts(star, k).join(ids, "customer_key").select(
+        "customer_id", *RFM_VALUES, "rfm_proxy_score", "churn_flag", "rfm_segment"
     )
 
 
 def rfm_distribution(star, k=5):
     """Customers and churn rate per total score."""
     return (
-        rfm_scores(star, k)
+        rfm_facts(star, k)
         .groupBy(F.col("rfm_proxy_score").alias("rfm_score"))
         .agg(customers().alias("customers"), churn_rate().alias("churn_rate_pct"))
         .orderBy(F.desc("rfm_score"))
@@ -285,7 +292,7 @@ def reason_pareto(star, cut=80):
 def with_precomputed_scores(star):
     """The fact with decile, quintiles, total score and segment stored as columns."""
     fact = with_score_decile(star.fact_subscription)
-    fact = rfm_ntiles(fact, tie="customer_key")
+    fact = rfm_ntiles(fact)
     return fact.withColumnsRenamed({c: f"rfm_{c}" for c in RFM_VALUES}).withColumns(
         {
             "rfm_total_score": sum((F.col(f"rfm_{c}") for c in RFM_VALUES), F.lit(0)).cast("int"),

@@ -201,15 +201,16 @@ def top_share(star, pct=20):
 def value_rank(star, within=None):
     """Rank of each customer by lifetime value, over all or inside one plan attribute."""
     keys = [within] if within else []
-    base = star_view(star, "customer_id", *keys).select("customer_id", *keys, "cltv")
-    ordered = global_order(base, [*keys, F.desc("cltv"), "customer_id"], label="value-rank")
+    base = star_view(star, *keys).select("customer_key", *keys, "cltv")
+    ordered = global_order(base, [*keys, F.desc("cltv"), "customer_key"], label="value-rank")
     ranked = with_rank(ordered, [*keys, "cltv"], "cltv_rank")
     if within:
         starts = ordered.groupBy(within).agg(F.min("rn").alias("_first"))
         ranked = ranked.join(starts, within).withColumn(
             "cltv_rank", F.col("cltv_rank") - F.col("_first") + 1
         )
-    return ranked.select("customer_id", *keys, "cltv", "cltv_rank")
+    ids = star.dim_customer.select("customer_key", "customer_id")
+    return ranked.join(ids, "customer_key").select("customer_id", *keys, "cltv", "cltv_rank")
 
 
 def contract_risk_rank(star):
@@ -276,14 +277,16 @@ CUTS = [0.2, 0.4, 0.6, 0.8]
 
 def rfm_by_percentile(star):
     """Quintiles by percentile thresholds; a value on a threshold belongs to the upper one."""
-    base = star_view(star, "customer_id").select("customer_id", *RFM_VALUES.values())
+    base = star.fact_subscription.select("customer_key", *RFM_VALUES.values())
     cuts = by_variable(exact_quantiles(base, list(RFM_VALUES.values()), CUTS))
     at = lambda value: sum(
         (F.col(value).cast("double") >= F.col("_q")[value][i]).cast("int") for i in range(len(CUTS))
     )
     scored = base.withColumn("_q", cuts).select(
-        "customer_id", *[(at(v) + 1).alias(name) for name, v in RFM_VALUES.items()]
+        "customer_key", *[(at(v) + 1).alias(name) for name, v in RFM_VALUES.items()]
     )
+    ids = star.dim_customer.select("customer_key", "customer_id")
+    scored = scored.join(ids, "customer_key").drop("customer_key")
     return scored.withColumn(
         "rfm_proxy_score", sum((F.col(c) for c in RFM_VALUES), F.lit(0)).cast("int")
     ).withColumn("rfm_segment", rfm_label(F.col("rfm_proxy_score")))

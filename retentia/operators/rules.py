@@ -56,9 +56,15 @@ HEALTH_COLUMNS = [
 ]
 
 
+def health_facts(star):
+    """Health per fact row; only the plan is joined."""
+    return with_health(star_view(star, "contract_type"))
+
+
 def customer_health(star):
     """Always-fresh view: a lazy frame over the stored star."""
-    return with_health(star_view(star, "customer_id", "contract_type")).select(*HEALTH_COLUMNS)
+    ids = star.dim_customer.select("customer_key", "customer_id")
+    return health_facts(star).join(ids, "customer_key").select(*HEALTH_COLUMNS)
 
 
 def register_health_view(star, name="vw_customer_health_score"):
@@ -67,25 +73,25 @@ def register_health_view(star, name="vw_customer_health_score"):
 
 
 def lowest_health(star, n=10):
+    """The n lowest scores; ids are looked up for those rows only (keys follow ids)."""
+    worst = health_facts(star).orderBy("customer_health_score", "customer_key").limit(n)
     return (
-        customer_health(star)
+        worst.join(star.dim_customer.select("customer_key", "customer_id"), "customer_key")
         .select("customer_id", "contract_type", "tenure_months", "cltv", "customer_health_score")
         .orderBy("customer_health_score", "customer_id")
-        .limit(n)
     )
 
 
 def above_average_at_risk(star):
     """At-risk customers whose value exceeds the mean value of all customers."""
-    health = customer_health(star)
-    average = health.agg(mean("cltv").alias("m")).scalar()
-    return health.where((F.col("health_tier") == "At Risk") & (F.col("cltv") > average)).orderBy(
+    average = star.fact_subscription.agg(mean("cltv").alias("m")).scalar()
+    return customer_health(star).where((F.col("health_tier") == "At Risk") & (F.col("cltv") > average)).orderBy(
         F.desc("cltv"), "customer_id"
     )
 
 
 def health_tier_outcomes(star):
-    per = customer_health(star).groupBy("health_tier").agg(
+    per = health_facts(star).groupBy("health_tier").agg(
         F.count(F.lit(1)).alias("n_customers"),
         pct(F.sum("churn_flag"), F.count(F.lit(1))).alias("churn_rate_pct"),
         rounded(mean("cltv"), 2).alias("avg_cltv"),
@@ -97,7 +103,7 @@ def health_tier_outcomes(star):
 
 def health_score_agreement(star):
     """Correlation with the inverse vendor score, next to the mean vendor score per tier."""
-    health = customer_health(star)
+    health = health_facts(star)
     r = health.agg(
         rounded(F.corr("customer_health_score", 100 - F.col("churn_score")), 3).alias("r")
     ).scalar()
