@@ -77,13 +77,21 @@ def _(w):
     return quality.compare_fields(w.raw, w.cross)
 
 
-@query("q2_unique_id_gate")
+@query(
+    "q2_unique_id_gate",
+    "SELECT *, ids_only_in_primary + ids_only_in_cross_ref = 0 AS ids_match_exactly"
+    f" FROM ({_KEYS_SQL})",
+)
 def _(w):
     found = quality.require_unique_ids(w.raw, w.cross)
     return w.raw.sparkSession.createDataFrame([found])
 
 
-@query("q4_schema_report")
+@query(
+    "q4_schema_report",
+    """SELECT * FROM (VALUES ('missing', 'CLTV'), ('unexpected', 'Lifetime Value'))
+    t(kind, column_name)""",
+)
 def _(w):
     wide = w.raw.withColumnRenamed("CLTV", "Lifetime Value")
     return quality.schema_report(wide)
@@ -261,7 +269,10 @@ def _(w):
     return quality.iqr_outliers(w.wide, _IQR)
 
 
-@query("q15_documented_blanks")
+@query(
+    "q15_documented_blanks",
+    "SELECT COUNT(*) FILTER (WHERE TRIM(total_charges) = '') AS blank_total_charges FROM raw",
+)
 def _(w):
     expected = quality.run_validation(w.raw).where("check = 'blank_total_charges'").first().value
     n = quality.require_blank_count(w.raw, int(expected))
@@ -286,6 +297,9 @@ _CLEAN_RAW = ", ".join(
 )
 
 
+_CLEAN_SELECT = f"SELECT {_CLEAN_RAW} FROM raw"
+
+
 @query("p1_standard_names", f"SELECT {_CLEAN_RAW} FROM raw")
 def _(w):
     return clean.standardize_columns(w.raw)
@@ -326,7 +340,7 @@ def _(w):
     return clean.add_binary_flags(clean.standardize_columns(w.raw)).select("customer_id", *_BOOLS)
 
 
-@query("p5_drop_redundant")
+@query("p5_drop_redundant", f"SELECT * EXCLUDE (row_count_flag, lat_long_raw) FROM ({_CLEAN_SELECT})")
 def _(w):
     return clean.drop_redundant_columns(clean.standardize_columns(w.raw))
 
@@ -639,7 +653,7 @@ def _(w):
     return tables.load_check(w.star.fact_subscription)
 
 
-@query("s6_write_star")
+@query("s6_write_star", _COUNTS)
 def _(w):
     spark = w.raw.sparkSession
     root = staging.new_path(spark, "star")
@@ -648,14 +662,19 @@ def _(w):
     return tables.table_counts(tables.load_star(spark, root).tables())
 
 
-@query("s7_write_wide")
+@query("s7_write_wide", f"SELECT * {_SWAP} FROM wide")
 def _(w):
     path = staging.new_path(w.raw.sparkSession, "wide")
     tables.write_table(w.wide, path)
     return w.raw.sparkSession.read.parquet(path)
 
 
-@query("s11_csv_export")
+@query(
+    "s11_csv_export",
+    """SELECT CAST(ROW_NUMBER() OVER (ORDER BY city, zip_code) AS VARCHAR) AS geography_key, country,
+    state, city, zip_code, CAST(latitude AS VARCHAR) AS latitude, CAST(longitude AS VARCHAR) AS longitude
+    FROM (SELECT DISTINCT country, state, city, zip_code, latitude, longitude FROM wide)""",
+)
 def _(w):
     spark = w.raw.sparkSession
     path = staging.new_path(spark, "csv")
@@ -663,7 +682,11 @@ def _(w):
     return spark.read.option("header", True).csv(path)
 
 
-@query("s12_json_report")
+@query(
+    "s12_json_report",
+    "SELECT *, ids_only_in_primary + ids_only_in_cross_ref = 0 AS ids_match_exactly"
+    f" FROM ({_KEYS_SQL})",
+)
 def _(w):
     spark = w.raw.sparkSession
     root = staging.new_path(spark, "json")
@@ -671,7 +694,7 @@ def _(w):
     return spark.read.json(f"{root}/keys")
 
 
-@query("s13_star_csv_export")
+@query("s13_star_csv_export", _COUNTS)
 def _(w):
     spark = w.raw.sparkSession
     root = staging.new_path(spark, "bi")

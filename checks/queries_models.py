@@ -246,7 +246,10 @@ def _(w):
 # --- fitted models ---------------------------------------------------------------------------
 
 
-@query("m1_encoded_features")
+_SLOTS = " + ".join(f"(SELECT COUNT(DISTINCT {c}) - 1 FROM wide)" for c in CHURN.categorical)
+
+
+@query("m1_encoded_features", f"SELECT customer_id, {big(f'4 + {_SLOTS}')} AS slots FROM wide")
 def _(w):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array

@@ -229,9 +229,19 @@ def _(w):
     return R.ols_agreement(w.wide, R.OLS_FEATURES, "total_charges")
 
 
-@query("t16_residual_histogram")
+@query(
+    "t16_residual_histogram",
+    f"""SELECT bin, COUNT(*) AS rows, {rd('MIN(e)', 1)} AS smallest, {rd('MAX(e)', 1)} AS largest FROM (
+    SELECT e, {big('LEAST(40, FLOOR((e - lo) / ((hi - lo) / 40)) + 1)')} AS bin FROM (
+    SELECT e, MIN(e) OVER () AS lo, MAX(e) OVER () AS hi FROM (
+    SELECT CAST(total_charges AS DOUBLE) - b0 - b1 * CAST(tenure_months AS DOUBLE)
+      - b2 * CAST(monthly_charges AS DOUBLE) AS e FROM wide, f))) GROUP BY bin""",
+    _COV,
+)
 def _(w):
-    return R.residual_histogram(w.wide, R.OLS_FEATURES, "total_charges")
+    bins = R.residual_histogram(w.wide, R.OLS_FEATURES, "total_charges")
+    ends = [H.rounded(F.col(c), 1).alias(c) for c in ("smallest", "largest")]
+    return bins.select("bin", "rows", *ends)
 
 
 def _scenario(source, target, percents, extra=False):
