@@ -10,6 +10,11 @@ def rd(expr, digits=2):
     return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
 
 
+def rd_even(expr, digits):
+    """Half to even, as the what-if tables round."""
+    return f"ROUND_EVEN(CAST(CAST({expr} AS DECIMAL(38,10)) AS DOUBLE), {digits})"
+
+
 def pct(num, den, digits=2):
     return rd(f"100e0 * ({num}) / NULLIF({den}, 0)", digits)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.oracle import N, RATE, big, mean, rd
+from checks.oracle import N, RATE, big, mean, rd, rd_even
 from checks.registry import query
 from retentia.functions.columns import Z95
 from retentia.operators import hypothesis as H, regress as R, scenarios as B
@@ -249,7 +249,7 @@ def _scenario(source, target, percents, extra=False):
     gain = f"{moved} * (ct - cf)" if extra else f"{moved} * (rf - rt) * cf"
     return f"""SELECT {big('p')} AS rate_pct, n AS group_customers, {rd('100 * rf')} AS from_churn_rate_pct,
     {rd('100 * rt')} AS to_churn_rate_pct, {big(moved)} AS customers_moved,
-    {rd(f'{moved} * (rf - rt)', 0)} AS est_fewer_churns_per_year, {rd(gain)} AS est_mrr FROM (
+    {rd_even(f'{moved} * (rf - rt)', 0)} AS est_fewer_churns_per_year, {rd_even(gain, 2)} AS est_mrr FROM (
       SELECT COUNT(*) FILTER (WHERE {source}) AS n,
       {mean(f'CASE WHEN {source} THEN churn_flag END')} AS rf,
       {mean(f'CASE WHEN {target} THEN churn_flag END')} AS rt,

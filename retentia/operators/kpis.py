@@ -183,7 +183,10 @@ def rfm_distribution(star, k=5):
 
 
 def city_churn_rank(star, min_n=30, limit=15):
-    """Cities with enough customers, worst churn first; the rank runs over cities, not rows."""
+    """Cities with enough customers, worst churn first.
+
+    Only cities ahead of a city count for its rank, so the rank is taken after the limit.
+    """
     per = (
         star_view(star, "city")
         .groupBy("city")
@@ -195,9 +198,8 @@ def city_churn_rank(star, min_n=30, limit=15):
         )
         .where(F.col("customers") >= min_n)
     )
-    return (
-        per.withColumn("churn_rank", _risk_rank()).orderBy("churn_rank", "city").limit(limit)
-    )
+    worst = per.orderBy(F.desc("churn_rate_pct"), "city").limit(limit)
+    return worst.withColumn("churn_rank", _risk_rank()).orderBy("churn_rank", "city")
 
 
 def kpi_by_payment(star):

@@ -48,7 +48,7 @@ def refresh_rollups(star, root):
     version = uuid.uuid4().hex
     for name, build in ROLLUPS.items():
         path = f"{root}/{name}/version={version}"
-        build(star).coalesce(1).write.parquet(path)
+        build(star).write.parquet(path)
     for name in ROLLUPS:
         stored = spark.read.parquet(f"{root}/{name}/version={version}")
         stored.createOrReplaceTempView(name)

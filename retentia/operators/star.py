@@ -47,7 +47,7 @@ class Star:
 
 
 def first_per_key(df, key, rest):
-    """One row per key with the smallest combination of the other columns; combines map-side."""
+    """One row per key with the smallest combination of the other columns."""
     return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(*key, "r.*")
 
 
@@ -57,11 +57,6 @@ def number_rows(df, key, name):
     return ordered.select(F.col("rn").alias(name), *df.columns)
 
 
-def number_few_rows(df, order, name):
-    """The same for a dimension bounded by its domain (methods, cohorts, reasons)."""
-    return df.select(F.row_number().over(W.orderBy(*order)).cast("bigint").alias(name), "*")
-
-
 def build_dim_customer(wide):
     rest = ["gender", "senior_citizen", "has_partner", "has_dependents"]
     src = wide.select(
@@ -74,7 +69,8 @@ def build_dim_customer(wide):
 
 def build_dim_geography(wide):
     rest = ["country", "state", "latitude", "longitude"]
-    dim = first_per_key(wide, ["city", "zip_code"], rest)
+    few = wide.select("city", "zip_code", *rest).distinct()  # hashed before the struct minimum
+    dim = first_per_key(few, ["city", "zip_code"], rest)
     dim = dim.select("country", "state", "city", "zip_code", "latitude", "longitude")
     return number_rows(dim, ["city", "zip_code"], "geography_key")
 
@@ -90,13 +86,13 @@ def plan_columns(wide):
 
 def build_dim_plan(wide):
     dim = plan_columns(wide).select(*SERVICE_PLAN_COLUMNS, "contract_based_risk_tier")
-    dim = first_per_key(dim, SERVICE_PLAN_COLUMNS, ["contract_based_risk_tier"])
+    dim = first_per_key(dim.distinct(), SERVICE_PLAN_COLUMNS, ["contract_based_risk_tier"])
     return number_rows(dim, SERVICE_PLAN_COLUMNS, "plan_key")
 
 
 def build_dim_payment_method(wide):
     dim = wide.select("payment_method").distinct()
-    return number_few_rows(dim, ["payment_method"], "payment_method_key")
+    return number_rows(dim, ["payment_method"], "payment_method_key")
 
 
 def build_dim_tenure_cohort(wide):
@@ -107,12 +103,14 @@ def build_dim_tenure_cohort(wide):
         .distinct()
         .withColumn("sort_order", cohort_order(F.col("tenure_cohort_label")))
     )
-    return number_few_rows(dim, ["sort_order"], "tenure_cohort_key")
+    # at most one row per defined cohort
+    key = F.row_number().over(W.orderBy("sort_order")).cast("bigint")
+    return dim.select(key.alias("tenure_cohort_key"), "*")
 
 
 def build_dim_churn_reason(wide):
     dim = wide.select("churn_reason").distinct()
-    return number_few_rows(dim, ["churn_reason"], "churn_reason_key")
+    return number_rows(dim, ["churn_reason"], "churn_reason_key")
 
 
 DIMENSIONS = {

@@ -39,7 +39,7 @@ def scores(spark):
     rows = []
     for i in range(300):
         label = int(rnd.random() < 0.4)
-        score = 0.5 if i % 3 == 0 else round(min(1, max(0, rnd.gauss(0.4 + 0.2 * label, 0.2))), 2)
+        score = 0.5 if i % 3 == 0 else round(min(1.0, max(0.0, rnd.gauss(0.4 + 0.2 * label, 0.2))), 2)
         rows.append((f"c{i:03d}", label, score))
     return spark.createDataFrame(rows, "customer_id string, label int, score double"), rows
 
