@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import chat, mixing, toxicity, warc
+from retentia.llm import chat, mixing, near_join, quality_rules, toxicity, warc
 from retentia.llm.common import load
 
 QUERIES = {}
@@ -120,3 +120,51 @@ def op10(spark, sf_dir):
     out = toxicity.scored(docs, toxicity.training_part(labels))
     return out.select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    rows = quality_rules.judged(docs, labels)
+    return rows.select(
+        "doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "stratum", "step")
+
+
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), lines AS (
+  SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS dup
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), win AS (
+  SELECT doc_id, i, list_slice(w, i, i + 4) AS five
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, five) AS c FROM win)
+  WHERE c > 1
+), rep AS (
+  SELECT doc_id, CAST(count(DISTINCT i + j) AS BIGINT) AS n
+  FROM twice, (SELECT unnest(range(5)) AS j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+       CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+       CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+       coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+       len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)
+"""
+
+
+@query("op3b_quality_counts", QUALITY_SQL)
+def op3_counts(spark, sf_dir):
+    """The counts alone, which SQL can express."""
+    rows = quality_rules.measured(load(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *quality_rules.COUNTS[:5], "base_failed")
+
+
+@query("op4_near_copies")
+def op4(spark, sf_dir):
+    return near_join.classes(load(spark, sf_dir, "documents"))
