@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import chat, mixing, near_join, quality_rules, toxicity, warc
+from retentia.llm import chat, mixing, near_join, pii, quality_rules, toxicity, warc
 from retentia.llm.common import load
 
 QUERIES = {}
@@ -168,3 +168,8 @@ def op3_counts(spark, sf_dir):
 @query("op4_near_copies")
 def op4(spark, sf_dir):
     return near_join.classes(load(spark, sf_dir, "documents"))
+
+
+@query("op8_pii_surrogates")
+def op8(spark, sf_dir):
+    return pii.with_surrogates(load(spark, sf_dir, "documents"))
