@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import chat, mixing, near_join, pii, quality_rules, toxicity, warc
+from retentia.llm import chat, decontaminate, mixing, near_join, pii, quality_rules, toxicity, warc
 from retentia.llm.common import load
 
 QUERIES = {}
@@ -173,3 +173,9 @@ def op4(spark, sf_dir):
 @query("op8_pii_surrogates")
 def op8(spark, sf_dir):
     return pii.with_surrogates(load(spark, sf_dir, "documents"))
+
+
+@query("op2_benchmark_leaks")
+def op2(spark, sf_dir):
+    return decontaminate.hits(
+        load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
