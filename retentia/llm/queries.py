@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import chat, decontaminate, mixing, near_join, pii, quality_rules, toxicity, warc
+from retentia.llm import chat, decontaminate, lm_score, mixing, near_join, pii, quality_rules, toxicity, warc
 from retentia.llm.common import load
 
 QUERIES = {}
@@ -179,3 +179,10 @@ def op8(spark, sf_dir):
 def op2(spark, sf_dir):
     return decontaminate.hits(
         load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op5_lm_score")
+def op5(spark, sf_dir):
+    """Target: documents labelled as good; background: all documents."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    return lm_score.scored(docs, labels.where("quality = 1"))
