@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import chat, decontaminate, lm_score, mixing, near_join, pii, quality_rules, toxicity, warc
+from retentia.llm import (
+    chat, decontaminate, html_extract, lm_score, mixing, near_join, pii, quality_rules, toxicity,
+    warc,
+)
 from retentia.llm.common import load
 
 QUERIES = {}
@@ -186,3 +189,8 @@ def op5(spark, sf_dir):
     """Target: documents labelled as good; background: all documents."""
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     return lm_score.scored(docs, labels.where("quality = 1"))
+
+
+@query("op1_main_text")
+def op1(spark, sf_dir):
+    return html_extract.main_texts(load(spark, sf_dir, "pages"))
