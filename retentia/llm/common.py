@@ -21,7 +21,7 @@ def load(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark, size=16 << 20):
+def bounded_batches(spark, size=4 << 20):
     """Arrow batches end at so many bytes, so that long texts do not add up in a worker."""
     spark.conf.set(BATCH_BYTES, str(size))
 

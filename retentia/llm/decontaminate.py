@@ -289,6 +289,18 @@ def _arrow(kind):
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
+def _clean(text, shared):
+    """Whether a text column holds no item of a shared index."""
+
+    @F.arrow_udf("boolean")
+    def is_clean(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), bool)
+        out[[t for t, *_ in retrieve(texts, shared.value)]] = False
+        return pa.array(out)
+
+    return is_clean(text)
+
+
 def without_leaks(docs, benchmark, search=Search()):
     """The documents, all columns, that hold no item."""
     spark = docs.sparkSession
@@ -296,13 +308,5 @@ def without_leaks(docs, benchmark, search=Search()):
     clean = F.lit(True)
     for index in shards(benchmark, search):
         index = weighed(docs, index)
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.arrow_udf("boolean")
-        def is_clean(texts: pa.Array, shared=shared) -> pa.Array:
-            out = np.ones(len(texts), bool)
-            out[[t for t, *_ in retrieve(texts, shared.value)]] = False
-            return pa.array(out)
-
-        clean = clean & is_clean(F.col("`text`"))
+        clean = clean & _clean(F.col("`text`"), spark.sparkContext.broadcast(index))
     return docs.where(clean)

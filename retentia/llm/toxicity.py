@@ -28,10 +28,11 @@ from retentia.llm.common import as_strings, bounded_batches, mix, split_words, w
 class Model:
     shortest: int = 3
     longest: int = 5
+    #: At most 2 ** 16, since bags are packed in 16 bits.
     buckets: int = 1 << 16
     width: int = 8
     #: Labelled rows taken of each label; the bound of the sample.
-    per_label: int = 4000
+    per_label: int = 3000
     epochs: int = 6
     batch: int = 32
     step: float = 0.03
@@ -94,10 +95,14 @@ def bags(array, model=Model()):
         yield keep.astype(np.int32), weights[keep].astype(np.float32)
 
 
-def train(samples, labels, model=Model()):
+#: Bags travel as 16-bit numbers, weights times this.
+PACK = 4096
+
+
+def train(samples, labels, model=Model(), pack=1):
     """Embeddings and softmax by Adam on mini-batches; (score of each bucket, bias).
 
-    samples: (buckets, weights) of each text. Returns the logit of label 1 against 0.
+    samples: (buckets, weights times pack) of each text. Returns the logit of label 1 against 0.
     """
     rng = np.random.default_rng(model.seed)
     labels = np.asarray(labels, dtype=np.int64)
@@ -110,15 +115,15 @@ def train(samples, labels, model=Model()):
     params, moments = [table, softmax, bias], []
     for p in params:
         moments.append((np.zeros_like(p), np.zeros_like(p)))
-    scale, t = np.float32(model.scale), 0
+    scale, t = model.scale, 0
     steps = model.epochs * -(-len(samples) // model.batch)
     for _ in range(model.epochs):
         order = rng.permutation(len(samples))
         for k in range(0, len(order), model.batch):
             part = order[k : k + model.batch]
             sizes = np.array([len(samples[i][0]) for i in part])
-            used = np.concatenate([samples[i][0] for i in part])
-            w = np.concatenate([samples[i][1] for i in part])* scale
+            used = np.concatenate([samples[i][0] for i in part]).astype(np.int64)
+            w = np.concatenate([samples[i][1] for i in part]).astype(np.float32) * np.float32(scale / pack)
             doc = np.repeat(np.arange(len(part)), sizes)
             mean = np.zeros((len(part), model.width), np.float32)
             for d in range(model.width):
@@ -170,8 +175,9 @@ def _packed(model):
         for batch in batches:
             made = list(bags(batch.column("text"), model))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([a.tobytes() for a, _ in made], pa.binary()),
-                 pa.array([b.tobytes() for _, b in made], pa.binary())],
+                [batch.column("label"),
+                 pa.array([a.astype(np.uint16).tobytes() for a, _ in made], pa.binary()),
+                 pa.array([(b * PACK).astype(np.float16).tobytes() for _, b in made], pa.binary())],
                 names=["label", "buckets", "weights"])
 
     return run
@@ -194,10 +200,11 @@ def fit(docs, labels, model=Model()):
     rows = sample.select(F.col("label").cast("int").alias("label"), "doc_id", "text")
     packed = rows.select("label", "text").mapInArrow(
         _packed(model), "label int, buckets binary, weights binary")
-    got = sorted((r.label, bytes(r.buckets), bytes(r.weights)) for r in packed.collect())
+    # one row after the other: at most 2 * per_label bags of at most `buckets` numbers
+    got = sorted((r.label, bytes(r.buckets), bytes(r.weights)) for r in packed.toLocalIterator())
     weights, bias = train(
-        [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for _, b, w in got],
-        [x for x, _, _ in got], model)
+        [(np.frombuffer(b, np.uint16), np.frombuffer(w, np.float16)) for _, b, w in got],
+        [x for x, _, _ in got], model, PACK)
     # the sample holds as many of each label as it may, so put the true shares back
     n = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     taken = [sum(x == label for x, _, _ in got) for label in (0, 1)]
