@@ -5,8 +5,6 @@ which is written as Parquet and read again as the documents of the next stage. A
 return the columns of documents.
 """
 
-from pyspark.sql import functions as F
-
 from retentia.llm import decontaminate, mixing, near_join, pii, toxicity
 from retentia.llm.common import load
 from retentia.sources.staging import stage
@@ -33,8 +31,8 @@ def surrogates(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """What the mix takes: documents that are taken at all, with the words taken of each."""
-    return mixing.mixed(docs).where(F.col("taken") > 0)
+    """The mix: each document once per repetition, with the words taken of it."""
+    return mixing.sampled(docs)
 
 
 STAGES = [

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Window, functions as F
 
-from retentia.llm.common import n_words
+from retentia.llm.common import n_words, with_rows
 from retentia.sources.staging import stage
 
 
@@ -68,10 +68,11 @@ def targets(sizes, mix=Mix()):
     return table.select("source", "source_size", share.cast("double").alias("target"))
 
 
-def mixed(docs, mix=Mix()):
-    """Per document: doc_id, source, size, source_size, target, taken."""
+def mixed(docs, mix=Mix(), keep=()):
+    """Per document: doc_id, source, size, source_size, target, taken, and the kept columns."""
     sizes = stage(
         docs.select(
+            *keep,
             F.col("`doc_id`").alias("doc_id"),
             F.col("`source`").alias("source"),
             n_words(F.col("`text`")).alias("size"),
@@ -126,6 +127,23 @@ def mixed(docs, mix=Mix()):
         "_more", F.when(F.col("_range") < F.col("_cut"), F.col("size")).otherwise(0)
     )
     return inside.unionByName(outside).select(
-        "doc_id", "source", "size", "source_size", "target",
+        *keep, "doc_id", "source", "size", "source_size", "target",
         (F.col("_whole") * F.col("size") + F.col("_more")).cast("long").alias("taken"),
     )
+
+
+def sampled(docs, mix=Mix()):
+    """The mix itself: all columns of each document once per repetition it is taken for.
+
+    `repetition` counts from 1 and `words` says how many words of the repetition are taken: all
+    of them, but for the one document of a source where its target is met.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = with_rows(docs, [own])
+    named = rows.select("_row", "_doc.doc_id", "_doc.source", "_doc.text")
+    took = mixed(named, mix, keep=("_row",)).where("taken > 0").select("_row", "size", "taken")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    out = rows.join(took, "_row").select(
+        "_doc", "size", "taken", F.explode(F.sequence(F.lit(1), times)).alias("repetition"))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("repetition") - 1) * F.col("size"))
+    return out.select("_doc.*", "repetition", words.alias("words"))
