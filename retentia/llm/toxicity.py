@@ -109,7 +109,8 @@ def train(samples, labels, model=Model(), pack=1):
     share = labels.mean() if len(labels) else 0.0
     if share in (0.0, 1.0):
         return np.zeros(model.buckets, np.float32), 40.0 if share else -40.0
-    table = rng.uniform(-0.5, 0.5, (model.buckets, model.width)).astype(np.float32) / model.width
+    # from zero, so that n-grams which the sample does not have say nothing
+    table = np.zeros((model.buckets, model.width), np.float32)
     softmax = rng.normal(0, 0.1, (model.width, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     params, moments = [table, softmax, bias], []
