@@ -79,10 +79,10 @@ items AS (
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey),
 seed AS (
   SELECT c_custkey AS k, c_nationkey AS nk, c_name, c_acctbal, c_mktsegment, n_name, r_name,
-    spend, o_orderpriority, o_orderstatus, a0, a1, a2, a3, a4, a5,
-    LEAST(72, (last_d - first_d) // 30) AS tenure,
-    (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders) - last_d AS gap
-  FROM customer JOIN per_customer ON c_custkey = pk JOIN latest ON c_custkey = lk
+    COALESCE(spend, 0) AS spend, o_orderpriority, o_orderstatus, a0, a1, a2, a3, a4, a5,
+    COALESCE(LEAST(72, (last_d - first_d) // 30), 0) AS tenure,
+    COALESCE((SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders) - last_d, 0) AS gap
+  FROM customer LEFT JOIN per_customer ON c_custkey = pk LEFT JOIN latest ON c_custkey = lk
   LEFT JOIN items ON c_custkey = ik
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 raw AS (

@@ -7,7 +7,6 @@ import math
 
 _EPS = 1e-15
 _TINY = 1e-300
-_MANY_DF = 1_000_000  # beyond this the t distribution is normal for all printed digits
 
 
 def normal_two_sided(z):
@@ -47,7 +46,7 @@ def _beta_fraction(a, b, x):
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > _TINY else _TINY)
     h = d
-    for m in range(1, 100_000):
+    for m in range(1, 50_000_000):
         for step in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -62,18 +61,36 @@ def _beta_fraction(a, b, x):
     return h
 
 
-def _beta(a, b, x):
-    """Regularized incomplete beta function."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
+def _log_gamma_step(a, b):
+    """log of gamma(a + b) / gamma(a), without the cancellation of two large logarithms."""
+    shift = 0.0
+    while a < 50:  # the series below needs a large argument
+        shift -= math.log1p(b / a)
+        a += 1
+    series = lambda x: (
+        1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    )
+    main = (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b
+    return shift + main + series(a + b) - series(a)
+
+
+def _beta(a, b, u):
+    """Regularized incomplete beta function at x = 1 / (1 + u); exact for x close to 1 too."""
+    if u <= 0:
         return 1.0
+    x, log_x = 1 / (1 + u), -math.log1p(u)
+    low, high = sorted((a, b))
     front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+        _log_gamma_step(high, low) - math.lgamma(low) + a * log_x + b * (math.log(u) + log_x)
     )
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+    # the complement's fraction keeps all digits where many degrees of freedom bring x close to 1;
+    # it serves near its own range, as long as the difference from 1 has digits
+    near = u * x < min(0.5, 8 * (b + 1) / (a + b + 2))
+    if near or x >= (a + 1) / (a + b + 2):
+        rest = 1 - front * _beta_fraction(b, a, u * x) / b
+        if rest > 1e-4 or x >= (a + 1) / (a + b + 2):
+            return rest
+    return front * _beta_fraction(a, b, x) / a
 
 
 def chi2_tail(x, dof):
@@ -85,17 +102,13 @@ def chi2_tail(x, dof):
 def t_two_sided(t, dof):
     if t is None or dof is None:
         return None
-    if dof > _MANY_DF:
-        return normal_two_sided(t)
-    return _beta(dof / 2, 0.5, dof / (dof + t * t))
+    return _beta(dof / 2, 0.5, t * t / dof)
 
 
 def f_tail(f, d1, d2):
     if f is None or not d1 or not d2:
         return None
-    if d2 > _MANY_DF:
-        return chi2_tail(f * d1, d1)
-    return _beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
+    return _beta(d2 / 2, d1 / 2, d1 * f / d2)
 
 
 def with_p_values(df, tail, *args):

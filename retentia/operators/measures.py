@@ -206,7 +206,7 @@ def value_rank(star, within=None):
     ranked = with_rank(ordered, [*keys, "cltv"], "cltv_rank")
     if within:
         starts = ordered.groupBy(within).agg(F.min("rn").alias("_first"))
-        ranked = ranked.join(starts, within).withColumn(
+        ranked = ranked.join(F.broadcast(starts), within).withColumn(
             "cltv_rank", F.col("cltv_rank") - F.col("_first") + 1
         )
     ids = star.dim_customer.select("customer_key", "customer_id")

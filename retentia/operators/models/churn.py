@@ -1,12 +1,12 @@
 """Churn classifiers: comparison, tuning, final model, importances and batch scoring."""
 
+from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import ladder
@@ -17,7 +17,6 @@ from retentia.operators.models.prep import (
     Sizes,
     category_levels,
     encoding_stages,
-    require_few_levels,
     slot_names,
     training_folds,
     with_folds,
@@ -61,20 +60,9 @@ def candidates(sizes, rows):
     }
 
 
-def spread(df):
-    """Small inputs arrive in few partitions; give every core a share of the rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def fit_pipeline(train, estimator, features=CHURN, in_fold=False):
-    """Encoding fitted on the training rows only, then the estimator.
-
-    in_fold: one of several concurrent fits, which share the cores and had their levels checked.
-    """
-    levels = category_levels(train, features, in_fold)
-    train = train if in_fold else spread(train)
-    stages = [*encoding_stages(levels, features), estimator]
+def fit_pipeline(train, estimator, features=CHURN):
+    """Encoding fitted on the training rows only, then the estimator."""
+    stages = [*encoding_stages(category_levels(train, features), features), estimator]
     return Pipeline(stages=stages).fit(train)
 
 
@@ -108,13 +96,12 @@ def cross_validate(df, sizes=Sizes(), features=CHURN, names=None):
     """
     keep = [*features.columns, LABEL, "customer_id"]
     folded = with_folds(df.select(*keep), LABEL, sizes.folds)
-    require_few_levels(folded, features)
     frames, rows = training_folds(folded, LABEL, sizes.folds)
     names = names or list(candidates(sizes, rows))
     jobs = [(n, f) for n in names for f in range(sizes.folds)]
     models = in_parallel(
         [
-            lambda n=n, f=f: fit_pipeline(frames[f], candidates(sizes, rows)[n], features, True)
+            lambda n=n, f=f: fit_pipeline(frames[f], candidates(sizes, rows)[n], features)
             for n, f in jobs
         ]
     )
@@ -143,32 +130,55 @@ def compare_feature_sets(df, sizes=Sizes()):
 GRID = {"maxIter": [100, 150, 200], "maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2]}
 
 
+@dataclass
+class Tuned:
+    """Mean AUC per grid point in the order of `points`, and the best point fitted on all rows."""
+
+    points: list
+    scores: list
+    bestModel: PipelineModel
+
+
 def tune(train, grid=GRID, features=CHURN, folds=3, seed=42, parallelism=4):
-    """Grid search by cross-validated AUC; returns the CrossValidator model."""
-    gbt = GBTClassifier(labelCol=LABEL, seed=seed)
-    params = ParamGridBuilder()
-    for name, values in grid.items():
-        params = params.addGrid(getattr(gbt, name), values)
-    levels = category_levels(train, features)
-    cv = CrossValidator(
-        estimator=Pipeline(stages=[*encoding_stages(levels, features), gbt]),
-        estimatorParamMaps=params.build(),
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, numBins=0),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
+    """Grid search by cross-validated AUC.
+
+    Every fold encodes with the levels of its own training rows, so a level that occurs in the
+    held-out rows alone is no error. Held-out scores of all fits form one staged table.
+    """
+    names = list(grid)
+    points = [dict(zip(names, values)) for values in product(*grid.values())]
+    make = lambda point: GBTClassifier(labelCol=LABEL, seed=seed, **point)
+    folded = with_folds(train.select(*features.columns, LABEL, "customer_id"), LABEL, folds)
+    jobs = [(k, f) for k in range(len(points)) for f in range(folds)]
+    models = in_parallel(
+        [
+            lambda k=k, f=f: fit_pipeline(
+                folded.where(F.col("fold") != f), make(points[k]), features
+            )
+            for k, f in jobs
+        ],
+        parallelism,
     )
-    return cv.fit(with_folds(train, LABEL, folds))
+    held_out = [
+        churn_probability(m, folded.where(F.col("fold") == f), LABEL, "fold").withColumn(
+            "point", F.lit(k)
+        )
+        for (k, f), m in zip(jobs, models)
+    ]
+    scored = stage(reduce(lambda a, b: a.unionByName(b), held_out), "tuning")
+    per = auc(scored, LABEL, "score", by=["point", "fold"])
+    means = {r.point: r.m for r in per.groupBy("point").agg(F.avg("auc").alias("m")).collect()}
+    scores = [means[k] for k in range(len(points))]
+    best = points[scores.index(max(scores))]
+    return Tuned(points, scores, fit_pipeline(train, make(best), features))
 
 
 def tuning_table(spark, tuned):
     """Mean AUC per grid point, best first."""
-    rows = []
-    for point, score in zip(tuned.getEstimatorParamMaps(), tuned.avgMetrics):
-        named = {p.name: v for p, v in point.items()}
-        rows.append(
-            (named["maxIter"], named["maxDepth"], float(named["stepSize"]), round(float(score), 4))
-        )
+    rows = [
+        (p["maxIter"], p["maxDepth"], float(p["stepSize"]), round(float(score), 4))
+        for p, score in zip(tuned.points, tuned.scores)
+    ]
     schema = "rounds int, depth int, step double, roc_auc_mean double"
     return spark.createDataFrame(rows, schema).orderBy(F.desc("roc_auc_mean"), "rounds", "depth", "step")
 

@@ -15,8 +15,6 @@ from retentia.operators.ranks import global_order
 from retentia.schema import ADDONS
 from retentia.sources.staging import stage
 
-MAX_LEVELS = 1000
-
 
 @dataclass(frozen=True)
 class Features:
@@ -75,53 +73,37 @@ class Sizes:
     seed: int = 42
 
 
-class TooManyLevels(ValueError):
-    pass
-
-
-def require_few_levels(df, features):
-    """Levels become feature slots and travel through the driver, so their number is checked."""
-    cats = features.categorical
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
-    wide = [c for c in cats if sizes[c] > MAX_LEVELS]
-    if wide:
-        raise TooManyLevels(f"too many levels to encode: {wide}")
+def category_levels(train, features):
+    """Sorted levels per categorical column, for columns with more than one level.
 
-
-def category_levels(train, features, checked=False):
-    """Sorted levels per categorical column, for columns with more than one level."""
-    if not checked:
-        require_few_levels(train, features)
+    A level is a slot of the feature vector and a name in reports, so the driver gets them all.
+    """
     cats = features.categorical
     row = train.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cats]).first()
     return {c: list(row[c]) for c in cats if len(row[c]) > 1}
 
 
-def _quoted(text):
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def encoding_stages(levels, features):
     """Pipeline stages: scaled numerics and dummies without the first level of each category.
 
     The indexer sorts levels from last to first, so the encoder's dropped last index is the first
-    level. A level not seen in training is mapped to that one, which gives it zeros everywhere.
+    level. A level not seen in training gets the number after that and is moved to it, which
+    gives it zeros everywhere.
     """
+    cats = list(levels)
     known = ", ".join(
-        f"CASE WHEN {c} IN ({', '.join(map(_quoted, ls))}) THEN {c} ELSE {_quoted(ls[0])} END"
-        f" AS {c}_known"
-        for c, ls in levels.items()
+        f"LEAST({c}_number, {len(ls) - 1}D) AS {c}_index" for c, ls in levels.items()
     )
-    cats = list(levels)
     stages = []
     if cats:
         stages += [
-            SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"),
             StringIndexer(
-                inputCols=[f"{c}_known" for c in cats],
-                outputCols=[f"{c}_index" for c in cats],
+                inputCols=cats,
+                outputCols=[f"{c}_number" for c in cats],
                 stringOrderType="alphabetDesc",
+                handleInvalid="keep",
             ),
+            SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"),
             OneHotEncoder(
                 inputCols=[f"{c}_index" for c in cats],
                 outputCols=[f"{c}_dummies" for c in cats],
@@ -150,17 +132,22 @@ def slot_names(levels, features):
 def stratified_position(df, label, id_col="customer_id"):
     """Add `_pos` (1..n inside each label, in hash order of the id) and `_label_n`.
 
-    The rows are staged in that order, so later passes read the same split whatever is lost.
+    Without a label (None) all rows are one stratum. The rows are staged in that order, so later
+    passes read the same split whatever is lost.
     """
+    by = [] if label is None else [label]
     hashed = df.withColumn("_h", F.md5(F.col(id_col).cast("string")))
-    ordered = global_order(hashed, [label, "_h", id_col], label="strata")
-    starts = ordered.groupBy(label).agg(
-        F.min("rn").alias("_first"), F.count(F.lit(1)).alias("_label_n")
-    )
-    return (
-        ordered.join(starts, label)
-        .withColumn("_pos", F.col("rn") - F.col("_first") + 1)
-        .drop("rn", "n", "_at", "_range", "_first", "_h")
+    ordered = global_order(hashed, [*by, "_h", id_col], label="strata")
+    if by:
+        starts = ordered.groupBy(label).agg(
+            F.min("rn").alias("_first"), F.count(F.lit(1)).alias("_label_n")
+        )
+        # one row per label, so the rows themselves do not move
+        placed = ordered.join(F.broadcast(starts), label)
+    else:
+        placed = ordered.withColumns({"_first": F.lit(1), "_label_n": F.col("n")})
+    return placed.withColumn("_pos", F.col("rn") - F.col("_first") + 1).drop(
+        "rn", "n", "_at", "_range", "_first", "_h"
     )
 
 

@@ -12,7 +12,6 @@ from retentia.operators.models.evaluate import auc
 from retentia.operators.models.prep import (
     UPSELL,
     Sizes,
-    require_few_levels,
     training_folds,
     with_balanced_weight,
     with_folds,
@@ -51,13 +50,12 @@ def service_metrics(df, sizes=Sizes(), services=ADDONS):
 
     Held-out scores of all services and folds form one staged table.
     """
-    require_few_levels(df, UPSELL)
     tasks, held = [], []
     for service in services:
         folded = with_folds(training_rows(df, service), TARGET, sizes.folds)
         frames, _ = training_folds(folded, TARGET, sizes.folds)
         for fold, frame in enumerate(frames):
-            tasks.append(lambda frame=frame: fit_pipeline(frame, _forest(sizes), UPSELL, True))
+            tasks.append(lambda frame=frame: fit_pipeline(frame, _forest(sizes), UPSELL))
             held.append((service, folded.where(F.col("fold") == fold)))
     models = in_parallel(tasks)
     parts = [

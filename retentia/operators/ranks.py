@@ -160,7 +160,8 @@ def exact_quantiles(df, cols, probs, by=()):
     groups = ordered.groupBy(*keys).agg(
         F.sum("c").alias("total"), F.min(F.col("run_c") - F.col("c")).alias("base")
     )
-    placed = ordered.drop("n").join(groups, keys).withColumns(
+    # one row per group and column, so the counted values do not move
+    placed = ordered.drop("n").join(F.broadcast(groups), keys).withColumns(
         {
             "lo_at": F.col("run_c") - F.col("c") - F.col("base"),  # zero-based, inclusive
             "hi_at": F.col("run_c") - F.col("base") - 1,

@@ -1,11 +1,10 @@
 """Stored rollups and their refresh."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import churn_rate, churned, customers, mean, rounded, total
 from retentia.operators.star import star_view
+from retentia.sources.staging import current, new_version, publish
 
 
 def tenure_cohort_rollup(star):
@@ -40,19 +39,27 @@ ROLLUPS = {
 
 
 def refresh_rollups(star, root):
-    """Write each rollup to a new version folder, then point its view at that version.
+    """Write all rollups to a new version folder, then make that version the current one.
 
-    Readers keep the old version until the new one is complete.
+    Readers keep the version before until the new one is complete; older ones are removed.
     """
     spark = star.fact_subscription.sparkSession
-    version = uuid.uuid4().hex
+    version = new_version()
     for name, build in ROLLUPS.items():
-        path = f"{root}/{name}/version={version}"
-        build(star).write.parquet(path)
-    for name in ROLLUPS:
-        stored = spark.read.parquet(f"{root}/{name}/version={version}")
-        stored.createOrReplaceTempView(name)
-    return {name: spark.table(name) for name in ROLLUPS}
+        build(star).write.parquet(f"{root}/version={version}/{name}")
+    publish(spark, root, version, keep=2)
+    return open_rollups(spark, root)
+
+
+def open_rollups(spark, root):
+    """The current version of the rollups, also registered as views; works in any session."""
+    where = current(spark, root)
+    if where is None:
+        raise FileNotFoundError(f"no rollups were published in {root}")
+    views = {name: spark.read.parquet(f"{where}/{name}") for name in ROLLUPS}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return views
 
 
 def rollup_counts(views):

@@ -145,17 +145,32 @@ class UnknownCustomers(ValueError):
     pass
 
 
+class InvalidUpdates(ValueError):
+    pass
+
+
 def update_churn_scores(star, updates):
     """New fact with the scores of `updates` (customer_id, churn_score) applied.
 
-    Ids missing from the customer dimension are an error; nothing is changed then.
+    Ids missing from the customer dimension, ids that come twice and scores that are null or
+    outside 0 to 100 are errors; nothing is changed then.
     """
+    bad = updates.agg(
+        F.count_if(~F.coalesce(F.col("churn_score").between(0, 100), F.lit(False))).alias("scores"),
+        (F.count(F.lit(1)) - F.count_distinct("customer_id")).alias("repeated"),
+    ).first()
+    if bad.scores or bad.repeated:
+        raise InvalidUpdates(
+            f"{bad.scores} scores outside 0 to 100, {bad.repeated} repeated customer ids"
+        )
     known = updates.join(
         star.dim_customer.select("customer_id", "customer_key"), "customer_id", "left"
     )
-    unknown = known.where(F.col("customer_key").isNull()).select("customer_id").limit(20).collect()
-    if unknown:
-        raise UnknownCustomers([r.customer_id for r in unknown])
+    unknown = known.where(F.col("customer_key").isNull()).select("customer_id")
+    n = unknown.count()
+    if n:
+        some = [r.customer_id for r in unknown.limit(20).collect()]
+        raise UnknownCustomers(f"{n} unknown customers, among them {some}")
     new = known.select("customer_key", F.col("churn_score").alias("_new"))
     fact = star.fact_subscription
     return (

@@ -9,6 +9,7 @@ from retentia.operators.features import run_features
 from retentia.operators.quality import (
     compare_fields,
     compare_keys,
+    require_constraints,
     require_unique_ids,
     run_validation,
 )
@@ -20,7 +21,7 @@ from retentia.operators.star import (
 )
 from retentia.session import in_parallel
 from retentia.sources.fixtures import cross_reference, raw_subscribers
-from retentia.sources.staging import new_path
+from retentia.sources.staging import current, new_path, new_version, publish, remove
 from retentia.sources.tables import (
     load_primary,
     load_star,
@@ -56,6 +57,7 @@ def build_star(spark, wide, root):
     write_fact(build_fact_subscription(wide, dims), f"{root}/fact_subscription")
     star = load_star(spark, root)
     require_resolved_keys(star.fact_subscription, wide)
+    require_constraints(star)
     return star
 
 
@@ -68,12 +70,32 @@ def ingest_report(raw, cross):
 
 
 def run_etl(spark, raw, cross, root):
-    """Check ids, clean, derive, write the wide table once, then the star from it."""
+    """Check ids, clean, derive, write the wide table once, then the star from it.
+
+    Everything goes to a new version folder. Only when the key and constraint gates have passed
+    does it become the current load; if one raises, the folder is removed and the load before
+    stays as it was.
+    """
     require_unique_ids(raw, cross)
-    write_table(run_features(run_cleaning(raw)), f"{root}/wide")
-    wide = load_wide(spark, f"{root}/wide")
-    star = build_star(spark, wide, root)
-    return Warehouse(root, raw, cross, wide, star)
+    version = new_version()
+    folder = f"{root}/version={version}"
+    try:
+        write_table(run_features(run_cleaning(raw)), f"{folder}/wide")
+        wide = load_wide(spark, f"{folder}/wide")
+        star = build_star(spark, wide, folder)
+    except Exception:
+        remove(spark, folder)
+        raise
+    publish(spark, root, version, keep=2)
+    return Warehouse(folder, raw, cross, wide, star)
+
+
+def open_warehouse(spark, root, raw=None, cross=None):
+    """The current load of a folder, from any session."""
+    folder = current(spark, root)
+    if folder is None:
+        raise FileNotFoundError(f"no load was published in {root}")
+    return Warehouse(folder, raw, cross, load_wide(spark, f"{folder}/wide"), load_star(spark, folder))
 
 
 def etl_summary(warehouse):

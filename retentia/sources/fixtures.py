@@ -90,7 +90,10 @@ def latest_code():
 
 
 def raw_subscribers(spark, sf_dir):
-    """The 33 raw columns, one row per ordering customer."""
+    """The 33 raw columns, one row per customer.
+
+    A customer without orders is new: tenure 0, no amount, not churned.
+    """
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -101,18 +104,20 @@ def raw_subscribers(spark, sf_dir):
     )
     base = (
         customer.join(
-            customer_history(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey")
+            customer_history(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey"), "left"
         )
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .withColumns(
             {
                 "k": F.col("c_custkey"),
-                "gap": F.datediff(horizon, "last_day"),
-                "tenure": F.least(
-                    F.lit(72), (F.datediff("last_day", "first_day") / 30).cast("int")
+                "gap": F.coalesce(F.datediff(horizon, "last_day"), F.lit(0)),
+                "tenure": F.coalesce(
+                    F.least(F.lit(72), (F.datediff("last_day", "first_day") / 30).cast("int")),
+                    F.lit(0),
                 ),
-                "prio": F.floor(F.col("latest") / 10).cast("int"),
+                "prio": F.coalesce(F.floor(F.col("latest") / 10).cast("int"), F.lit(1)),
+                "spend": F.coalesce("spend", F.lit(0).cast(MONEY)),
             }
         )
         .withColumn("churned", F.col("gap") > 240)

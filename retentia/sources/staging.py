@@ -5,6 +5,7 @@ outlives any executor. Hadoop removes it when the driver's JVM ends.
 """
 
 import tempfile
+import time
 import uuid
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -21,9 +22,51 @@ def shared_dir(spark) -> str:
         if app not in _LOCAL_DIRS:
             _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="retentia-")
         where = _LOCAL_DIRS[app]
+    elif where.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} is a local folder, which other machines do not see")
     return where.rstrip("/")
 
 
+def _file_system(spark, path):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def remove(spark, path):
+    """Remove a folder if it is there."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def new_version() -> str:
+    """A version name; later names sort after earlier ones."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def publish(spark, root, version, keep=1):
+    """Make a version the current one of a folder and remove those before the last `keep`.
+
+    The pointer is an empty file that is created at once, so readers see the old version or the
+    new one, in any session.
+    """
+    fs, marker = _file_system(spark, f"{root}/_current/{version}")
+    fs.create(marker, True).close()
+    for old in _versions(spark, root)[:-keep]:
+        remove(spark, f"{root}/_current/{old}")
+        remove(spark, f"{root}/version={old}")
+
+
+def _versions(spark, root):
+    fs, folder = _file_system(spark, f"{root}/_current")
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def current(spark, root):
+    """The folder of the current version, None if nothing was published."""
+    versions = _versions(spark, root)
+    return f"{root}/version={versions[-1]}" if versions else None
+
+
 def new_path(spark, label) -> str:
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/retentia/{app}/{label}-{uuid.uuid4().hex}"

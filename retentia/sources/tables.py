@@ -39,9 +39,10 @@ def write_table(df, path):
 
 
 def write_fact(fact, path):
-    """Partitioned by churn flag and sorted by score, so that filters on them skip files."""
+    """Partitioned by churn flag, in files of score ranges, so that filters on them skip files."""
     (
-        fact.sortWithinPartitions("churn_flag", "churn_score")
+        fact.repartitionByRange("churn_flag", "churn_score", "customer_key")
+        .sortWithinPartitions("churn_flag", "churn_score")
         .write.mode("overwrite")
         .partitionBy("churn_flag")
         .parquet(path)
@@ -60,6 +61,12 @@ def load_star(spark, root):
     return Star(**frames)
 
 
+def register_star(star):
+    """The seven tables as views under their names, for spark.sql."""
+    for name, df in star.tables().items():
+        df.createOrReplaceTempView(name)
+
+
 def write_star_jdbc(star, url, batch_rows=500, **options):
     """Re-runnable load to a relational store: dimensions first, rows replaced, tables kept."""
     for name, df in star.tables().items():

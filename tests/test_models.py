@@ -17,7 +17,6 @@ from retentia.operators.models.prep import (
     UPSELL,
     Features,
     Sizes,
-    TooManyLevels,
     category_levels,
     encoding_stages,
     slot_names,
@@ -126,10 +125,14 @@ def test_encoding_drops_first_level_and_zeros_unseen(spark):
     ]
 
 
-def test_too_many_levels_is_an_error(spark):
+def test_many_levels_and_a_level_in_one_fold_only(spark):
     many = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.lit(1.0).alias("x"))
-    with pytest.raises(TooManyLevels):
-        category_levels(many, Features(("x",), ("k",)))
+    assert len(category_levels(many, Features(("x",), ("k",)))["k"]) == 3000
+    rows = [(f"c{k}", float(k % 7), "rare" if k == 5 else "ab"[k % 2], int(k % 3 == 0)) for k in range(90)]
+    df = spark.createDataFrame(rows, "customer_id string, x double, k string, churn_flag int")
+    grid = {"maxIter": [2], "maxDepth": [1, 2], "stepSize": [0.1]}
+    tuned = churn.tune(df, grid, Features(("x",), ("k",)), folds=3)
+    assert len(tuned.scores) == 2 and all(0 <= s <= 1 for s in tuned.scores)
 
 
 def test_vendor_fields_are_no_features():

@@ -246,6 +246,9 @@ def test_anova_drops_nulls(spark):
         (tails.chi2_tail(18.307038053275146, 10), 0.05),
         (tails.t_two_sided(2.2281388519649385, 10), 0.05),
         (tails.t_two_sided(1.9599642, 5_000_000), 0.05),
+        (tails.t_two_sided(10, 1e5) / tails.normal_two_sided(10), 1.0258082),
+        (tails.t_two_sided(10, 1_000_001) / tails.normal_two_sided(10), 1.0025528),
+        (tails.t_two_sided(10, 1e9) / tails.normal_two_sided(10), 1.0000025),
         (tails.f_tail(4.102821015303865, 2, 10), 0.05),
         (tails.f_tail(2.9957322735539909, 1e-9 + 2, 1e12), 0.05),
         (tails.chi2_tail(0.0, 3), 1.0),
