@@ -126,13 +126,21 @@ class Forest:
         self.label = np.arange(n)
 
     def join(self, x, y):
-        """True if x and y were in different groups."""
         a, b = self.label[x], self.label[y]
-        if a == b:
-            return False
-        low, high = (a, b) if a < b else (b, a)
-        self.label[self.label == high] = low
-        return True
+        if a != b:
+            self.label[self.label == max(a, b)] = min(a, b)
+
+    def stars(self, members):
+        """Edges that hang each member to the least member of its group.
+
+        Many pieces of work see parts of one group; stars around the least member repeat, so
+        little is left of them when equal edges are put together.
+        """
+        least = np.full(len(members), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.label, members)
+        centre = least[self.label]
+        away = centre != members
+        return centre[away], members[away]
 
 
 def _pieces(df, key, size, limit):
@@ -184,12 +192,6 @@ def _matrix(table, name, kind):
     return np.frombuffer(data, kind).reshape(table.num_rows, -1)
 
 
-def _edges_batch(edges):
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*edges)) if edges else (
-        np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
 def _prune(join):
     """Buckets of signatures -> edges of a spanning forest of the pairs that survive."""
 
@@ -203,7 +205,7 @@ def _prune(join):
             sizes = np.diff(cuts)
             group = np.repeat(np.arange(len(sizes)), sizes)
             cross = _array(table, "_i") != _array(table, "_j")
-            forest, out = Forest(table.num_rows), []
+            forest = Forest(table.num_rows)
             position = np.arange(table.num_rows)
             for step in range(1, int(sizes.max(initial=1))):
                 x = position[:-step][group[step:] == group[:-step]]
@@ -214,10 +216,10 @@ def _prune(join):
                 x, y = (v[~cross[x] | (own[x] != own[y])] for v in (x, y))
                 apart = forest.label[x] != forest.label[y]
                 x, y = x[apart], y[apart]
-                kept = alive(signatures[x], signatures[y], join, need)
-                new = [k for k in kept if forest.join(x[k], y[k])]
-                out.append((members[x[new]], members[y[new]]))
-            yield _edges_batch(out)
+                for k in alive(signatures[x], signatures[y], join, need):
+                    forest.join(x[k], y[k])
+            a, b = forest.stars(members)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -294,8 +296,8 @@ def _verify(join):
                 degree = link @ copies[a:b]
                 forest = Forest(b - a)
                 for x, y in zip(*np.nonzero(np.triu(link))):
-                    if forest.label[x] != forest.label[y] and forest.join(x, y):
-                        rows.append((member[a + x], member[a + y], 0))
+                    forest.join(x, y)
+                rows += [(x, y, 0) for x, y in zip(*forest.stars(member[a:b]))]
                 rows += [(member[a + x], member[a + x], degree[x]) for x in np.flatnonzero(degree)]
             got = np.array(rows, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays(
