@@ -6,7 +6,7 @@ from checks.oracle import avg, big, dbl, pct, rd
 from checks.registry import query
 from retentia.operators import clean, features, quality, star as S
 from retentia.plans import etl
-from retentia.schema import ADDONS, EXPECTED_COLUMNS, RAW_TO_CLEAN
+from retentia.schema import ADDONS, EXPECTED_COLUMNS, RAW_TO_CLEAN, SERVICE_PLAN_COLUMNS
 from retentia.sources import staging, tables
 
 _RAW_SQL = ", ".join(
@@ -17,7 +17,7 @@ _RAW_SQL = ", ".join(
 
 @query("s1_primary_source", f"SELECT {_RAW_SQL} FROM raw")
 def _(w):
-    return tables.load_primary(w.raw.sparkSession, f"{w.root}/raw")
+    return tables.load_primary(w.raw.sparkSession, w.raw_path)
 
 
 @query(
@@ -206,6 +206,12 @@ _CONSTRAINTS = " UNION ALL ".join(
             ("fact_subscription", "customer_key", "customer_id", "wide"),
             ("dim_customer", "customer_id", "customer_id", "wide"),
             ("dim_geography", "city, zip_code", "g", "(SELECT DISTINCT city || zip_code g FROM wide)"),
+            (
+                "dim_plan",
+                ", ".join(SERVICE_PLAN_COLUMNS),
+                f"({', '.join(SERVICE_PLAN_COLUMNS)})",
+                f"(SELECT DISTINCT {', '.join(SERVICE_PLAN_COLUMNS)}, contract_based_risk_tier FROM wide)",
+            ),
             ("dim_payment_method", "payment_method", "p", "(SELECT DISTINCT payment_method p FROM wide)"),
             ("dim_tenure_cohort", "tenure_cohort_label", "t", "(SELECT DISTINCT tenure_cohort t FROM wide)"),
             ("dim_churn_reason", "churn_reason", "c", "(SELECT DISTINCT churn_reason c FROM wide)"),

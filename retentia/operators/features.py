@@ -68,7 +68,8 @@ def add_contract_risk_tier(df):
 
 def add_scope_flag(df):
     """True on every row when the whole table lies in one state; computed, not assumed."""
-    states = df.agg((F.count_distinct("state") == 1).alias("single")).scalar()
+    one = F.coalesce(F.min("state") == F.max("state"), F.lit(False))
+    states = df.agg(one.alias("single")).scalar()
     return df.withColumn("is_single_state_dataset", states)
 
 

@@ -22,11 +22,15 @@ def _variant(name, columns, feature, replacement):
     )
 
 
-def shuffled(df, features, repeat, id_col="customer_id"):
-    """Rows numbered in one hash order, beside the values of the row at that place in another."""
-    base = global_order(
+def numbered(df, id_col="customer_id"):
+    """Rows numbered in one hash order; staged once for all repeats."""
+    return global_order(
         df.withColumn("_h", F.md5(F.col(id_col))), ["_h", id_col], label="permute"
     ).drop("_h", "n", "_at", "_range")
+
+
+def shuffled(base, df, features, repeat, id_col="customer_id"):
+    """Numbered rows beside the values of the row at that place in another hash order."""
     salted = df.select(
         F.md5(F.concat(id_col, F.lit(f"/{repeat}"))).alias("_h"),
         id_col,
@@ -45,9 +49,9 @@ def permutation_scores(model, df, features=CHURN, repeats=10):
     """
     df = _typed(df.select("customer_id", LABEL, *features.columns), features)
     cols = features.columns
-    out = None
+    base, out = numbered(df), None
     for repeat in range(repeats):
-        mixed = shuffled(df, features, repeat)
+        mixed = shuffled(base, df, features, repeat)
         variants = [_variant(f, cols, f, F.col(f"d_{f}")) for f in cols]
         variants.append(_variant("", cols, None, None))
         tall = mixed.select(LABEL, F.explode(F.array(*variants)).alias("v")).select(LABEL, "v.*")

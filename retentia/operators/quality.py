@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import pct, rounded
 from retentia.operators.ranks import by_variable, exact_quantiles
-from retentia.schema import DOMAINS, EXPECTED_COLUMNS
+from retentia.schema import DOMAINS, EXPECTED_COLUMNS, SERVICE_PLAN_COLUMNS
 
 
 class DuplicateIds(ValueError):
@@ -262,6 +262,7 @@ UNIQUE_RULES = {
     "fact_subscription": ["customer_key"],
     "dim_customer": ["customer_id"],
     "dim_geography": ["city", "zip_code"],
+    "dim_plan": SERVICE_PLAN_COLUMNS,
     "dim_payment_method": ["payment_method"],
     "dim_tenure_cohort": ["tenure_cohort_label"],
     "dim_churn_reason": ["churn_reason"],

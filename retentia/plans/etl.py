@@ -1,6 +1,6 @@
 """From the raw table to the stored star schema."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,6 +41,7 @@ class Warehouse:
     cross: DataFrame
     wide: DataFrame
     star: Star
+    raw_path: str = None
 
 
 def build_star(spark, wide, root):
@@ -117,7 +118,8 @@ def load_from_orders(spark, sf_dir, root):
     """Land the raw subscribers derived from the order tables, then run the ETL on them."""
     write_table(raw_subscribers(spark, sf_dir), f"{root}/raw")
     raw = load_primary(spark, f"{root}/raw")
-    return run_etl(spark, raw, cross_reference(raw), root)
+    loaded = run_etl(spark, raw, cross_reference(raw), root)
+    return replace(loaded, raw_path=f"{root}/raw")
 
 
 _OPEN = {}

@@ -125,14 +125,14 @@ def test_source_comparison(spark):
     assert (f.compared_rows, f.monthly_charges_mismatches, f.churn_label_mismatches) == (2, 1, 0)
 
 
-def load(spark, *changes):
+def load(spark, *changes, root=None):
     df = raw(spark, *changes)
     cross = df.select(
         F.col("CustomerID").alias("customerID"),
         F.col("Monthly Charges").cast("double").alias("MonthlyCharges"),
         F.col("Churn Label").alias("Churn"),
     )
-    return etl.run_etl(spark, df, cross, staging.new_path(spark, "test"))
+    return etl.run_etl(spark, df, cross, root or staging.new_path(spark, "test"))
 
 
 def test_star_keys_and_counts(spark):
@@ -155,6 +155,37 @@ def test_null_cohort_aborts_and_names_ids(spark):
         load(spark, {}, {"Tenure Months": 73})
 
 
+def test_a_failed_load_leaves_the_one_before(spark):
+    root = staging.new_path(spark, "gated")
+    good = load(spark, {}, {}, root=root)
+    n = good.star.fact_subscription.count()
+    with pytest.raises(S.UnresolvedKeys):
+        load(spark, {}, {"Tenure Months": 73}, root=root)
+    with pytest.raises(quality.BrokenConstraints, match="churn_score"):
+        load(spark, {}, {"Churn Score": 900}, root=root)
+    kept = etl.open_warehouse(spark, root)
+    assert kept.root == good.root and kept.star.fact_subscription.count() == n
+    again = load(spark, {}, {}, {}, root=root)
+    assert etl.open_warehouse(spark.newSession(), root).root == again.root
+
+
+def test_views_of_the_star(spark):
+    tables.register_star(load(spark, {}, {}).star)
+    assert spark.sql("SELECT count(*) FROM fact_subscription JOIN dim_plan USING (plan_key)").first()[0] == 2
+
+
+def test_local_folders_are_refused_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: "file:///tmp/x")
+
+        class sparkContext:
+            master, applicationId = "spark://m:7077", "app"
+
+    with pytest.raises(ValueError, match="local folder"):
+        staging.shared_dir(Cluster)
+
+
 def test_orphans_are_found(spark):
     w = load(spark, {}, {})
     w.star.dim_plan = w.star.dim_plan.limit(0)

@@ -174,7 +174,7 @@ def test_unused_feature_has_no_permutation_loss(small, fitted):
 def test_shuffle_keeps_the_values(many_ranges, small):
     feats = Features(("tenure_months",), ("gender",))
     rows = small.wide.select("customer_id", "tenure_months", "gender")
-    mixed = explain.shuffled(rows, feats, 0).collect()
+    mixed = explain.shuffled(explain.numbered(rows), rows, feats, 0).collect()
     assert sorted(r.tenure_months for r in mixed) == sorted(r.d_tenure_months for r in mixed)
     assert any(r.tenure_months != r.d_tenure_months for r in mixed)
 

@@ -101,12 +101,21 @@ def test_score_updates(small, spark):
         )
 
 
+@pytest.mark.parametrize("scores", [[50, 60], [900], [-1], [None]])
+def test_bad_score_updates_change_nothing(small, spark, scores):
+    one = small.star.dim_customer.orderBy("customer_id").first().customer_id
+    new = spark.createDataFrame([(one, s) for s in scores], "customer_id string, churn_score int")
+    with pytest.raises(rules.InvalidUpdates):
+        rules.update_churn_scores(small.star, new)
+
+
 def test_rollup_refresh_keeps_old_version_readable(spark, small):
     root = new_path(spark, "rollup-test")
     first = rollups.refresh_rollups(small.star, root)["mv_geography_rollup"]
     n = first.count()
     second = rollups.refresh_rollups(small.star, root)["mv_geography_rollup"]
     assert first.count() == n == second.count()
+    assert rollups.open_rollups(spark.newSession(), root)["mv_geography_rollup"].count() == n
 
 
 def test_distinct_and_counted_measures_agree(small):
