@@ -235,18 +235,22 @@ def test_surrogates_are_distinct_and_keep_formats():
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4};", new)
 
 
-def test_collisions_are_keyed_anew(spark, monkeypatch):
+def test_collisions_are_keyed_anew(spark):
+    """One letter has 25 surrogates, so 40 addresses that differ by their ending must collide."""
     conf = pii.Surrogates()
-    # of three entities two meet, and one gets the value of the third
-    first = {"a": "x", "b": "x", "c": "a"}
-    monkeypatch.setattr(
-        pii, "surrogate", lambda conf, kind, v, n=0: f"{first[v]}{n or ''}" if n < 2 else f"{v}-{n}")
-    known = spark.createDataFrame([("k", v) for v in "abc"], "kind string, value string").coalesce(1)
-    try:
-        lost = {r.value: r.attempt for r in pii.collisions(known, conf).collect()}
-    except Exception as e:  # the workers see the function of the module itself
-        pytest.skip(f"not patched in workers: {e}")
-    assert "a" not in lost or lost["a"] > 0
+    mails = [f"a@b.{x}{y}" for x in "cdefghij" for y in "klmno"]
+    assert len({pii.surrogate(conf, "email", v) for v in mails}) < len(mails)
+    known = spark.createDataFrame([("email", v) for v in mails], "kind string, value string")
+    lost = {r.value: r.attempt for r in pii.collisions(known, conf).collect()}
+    assert lost
+    got = {pii.surrogate(conf, "email", v, lost.get(v, 0)) for v in mails}
+    assert len(got) == len(mails) and not got & set(mails)
+    text = " ".join(mails)
+    docs = spark.createDataFrame([(1, text), (2, mails[0])], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.with_surrogates(docs).collect()}
+    assert len(set(out[1].split())) == len(mails) and out[2] == out[1].split()[0]
+    joined = pii.with_surrogates(docs, pii.Surrogates(most_shared=0))
+    assert {r.doc_id: r.text for r in joined.collect()} == out
 
 
 def test_html_template_of_a_host(spark):
@@ -294,8 +298,11 @@ def test_unseen_misspellings():
         samples.append(" ".join(w))
         labels.append(k % 2)
     made = list(toxicity.bags(pa.array(samples)))
-    score = toxicity.scorer(*toxicity.train(made, labels))
-    bad, good = score(pa.array(["the idiiot and stupidd house", "the rivver and gardden house"])).to_pylist()
+    score = toxicity.scorer(*toxicity.train(made, labels, toxicity.Model(epochs=60)))
+    plain_text = list(rng.choice(plain, 28))
+    bad, good = score(pa.array([
+        " ".join([*plain_text, "idiiot", "stupidd", "moronn", "patheticc"]), " ".join([*plain_text, "rivver", "gardden"])
+    ])).to_pylist()
     assert bad > 0.5 > good
 
 
