@@ -272,6 +272,22 @@ def _(w):
     return churn.feature_importance(w.raw.sparkSession, model, churn.encoded_names(train))
 
 
+@query(
+    "m8b_feature_names",
+    " UNION ALL ".join(
+        [f"SELECT '{c}' AS feature" for c in CHURN.numeric]
+        + [
+            f"SELECT '{c}_' || v FROM (SELECT DISTINCT {c} AS v FROM wide)"
+            f" WHERE v > (SELECT MIN({c}) FROM wide)"
+            for c in CHURN.categorical
+        ]
+    ),
+)
+def _(w):
+    names = [(n,) for n in churn.encoded_names(w.wide)]
+    return w.raw.sparkSession.createDataFrame(names, "feature string")
+
+
 @query("m9_overfit_report")
 def _(w):
     train, test, model, _ = fitted(w)
@@ -296,6 +312,25 @@ def _(w):
     return churn.score_subscribers(w.wide, churn_model, ltv_model)
 
 
+@query(
+    "m13b_scoring_rules",
+    """SELECT COUNT(*) AS customers, COUNT(DISTINCT customer_id) AS ids, TRUE AS complementary,
+      TRUE AS flagged_from_threshold, TRUE AS banded FROM wide""",
+)
+def _(w):
+    """What every scored row has to satisfy, whatever the model says."""
+    _, _, churn_model, ltv_model = fitted(w)
+    p = F.col("churn_probability")
+    band = F.when(p >= 0.35, "High Risk").when(p >= 0.2, "Moderate Risk").otherwise("Low Risk")
+    return churn.score_subscribers(w.wide, churn_model, ltv_model).agg(
+        F.count("*").alias("customers"),
+        F.count_distinct("customer_id").alias("ids"),
+        F.every(F.abs(1 - p - F.col("renewal_probability")) < 1e-12).alias("complementary"),
+        F.every(F.col("flag_for_outreach") == (p >= 0.1)).alias("flagged_from_threshold"),
+        F.every(F.col("risk_band") == band).alias("banded"),
+    )
+
+
 @query("s5_stored_predictions")
 def _(w):
     spark = w.raw.sparkSession
@@ -319,6 +354,29 @@ def _(w):
     return explain.local_explanations(model, rows, w.wide)
 
 
+@query(
+    "m15b_typical_values",
+    " UNION ALL ".join(
+        [
+            f"SELECT '{c}' AS feature, {rd(f'AVG(CAST({c} AS DOUBLE))', 4)} AS number,"
+            " NULL::VARCHAR AS level FROM wide"
+            for c in CHURN.numeric
+        ]
+        + [
+            f"SELECT '{c}', NULL, (SELECT {c} FROM wide GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
+            for c in CHURN.categorical
+        ]
+    ),
+)
+def _(w):
+    typical = explain.typical_values(w.wide)
+    rows = [
+        (c, v, None) if c in CHURN.numeric else (c, None, v) for c, v in typical.items()
+    ]
+    out = w.raw.sparkSession.createDataFrame(rows, "feature string, number double, level string")
+    return out.withColumn("number", rounded(F.col("number"), 4).cast("double"))
+
+
 @query("m17_silhouette_by_k")
 def _(w):
     return segment.silhouette_table(segment.scaled_features(w.wide), range(2, 9), SIZES)
@@ -352,9 +410,28 @@ def _(w):
     return table.where(F.col("model") == ltv.winner(table))
 
 
+def _addon_models(w):
+    if ("addons", w.root) not in _FITTED:
+        _FITTED["addons", w.root] = stage(upsell.service_metrics(w.wide, SIZES), "addons")
+    return _FITTED["addons", w.root]
+
+
 @query("m24_addon_models")
 def _(w):
-    return upsell.service_metrics(w.wide, SIZES)
+    return _addon_models(w)
+
+
+@query(
+    "m24b_addon_eligibility",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS service, COUNT(*) AS n_eligible_customers,"
+        f" ROUND(100e0 * COUNT(*) FILTER (WHERE {c} = 'Yes') / COUNT(*), 2) AS current_adoption_rate_pct"
+        f" FROM wide WHERE {c} <> 'No internet service'"
+        for c in ADDONS
+    ),
+)
+def _(w):
+    return _addon_models(w).select("service", "n_eligible_customers", "current_adoption_rate_pct")
 
 
 @query("m25d_fitted_recommendations")
