@@ -605,6 +605,12 @@ def _(w):
     return P.page(w.wide, number=3)
 
 
+@query("f2b_page_after", f"""SELECT {_RESULT} FROM wide WHERE customer_id > 'Customer#000000042'
+    ORDER BY customer_id LIMIT 15""")
+def _(w):
+    return P.page_after(w.wide, "Customer#000000042")
+
+
 _METRICS = ["tenure_months", "monthly_charges", "cltv", "addon_service_count"]
 
 

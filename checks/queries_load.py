@@ -89,8 +89,8 @@ def _(w):
 
 @query(
     "q4_schema_report",
-    """SELECT * FROM (VALUES ('missing', 'CLTV'), ('unexpected', 'Lifetime Value'))
-    t(kind, column_name)""",
+    """SELECT 'missing' AS kind, 'CLTV' AS column_name, CAST(0 AS BIGINT) AS filled
+    UNION ALL SELECT 'unexpected', 'Lifetime Value', COUNT(cltv) FROM raw""",
 )
 def _(w):
     wide = w.raw.withColumnRenamed("CLTV", "Lifetime Value")

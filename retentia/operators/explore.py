@@ -213,6 +213,7 @@ def correlation_matrix(df, cols=CORRELATED):
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+# --- fixed values: names of the funnel stages ---
 FUNNEL = {
     "total_customers": lambda: F.lit(True),
     "has_phone_service": lambda: F.col("phone_service_bool"),

@@ -95,12 +95,27 @@ def compare_fields(primary, cross, tolerance=0.01):
 
 
 def schema_report(df):
-    """(kind, column_name) for each missing or unexpected column."""
+    """(kind, column_name, filled) for each missing or unexpected column.
+
+    filled: rows with a value, so an unexpected column that is empty is told from one that holds
+    data; 0 for a missing one.
+    """
     rows = [("missing", c) for c in EXPECTED_COLUMNS if c not in df.columns]
     rows += [("unexpected", c) for c in df.columns if c not in EXPECTED_COLUMNS]
-    entries = [F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column_name")) for k, c in rows]
-    found = F.array(*entries).cast("array<struct<kind:string,column_name:string>>")
-    return df.sparkSession.range(1).select(F.explode(found).alias("e")).select("e.*")
+    entries = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(c).alias("column_name"),
+            (F.count(F.col(f"`{c}`")) if kind == "unexpected" else F.lit(0).cast("long"))
+            .alias("filled"),
+        )
+        for kind, c in rows
+    ]
+    found = F.array(*entries).cast("array<struct<kind:string,column_name:string,filled:long>>")
+    # an aggregate even where nothing is counted, so the report is one row of findings
+    return df.agg(F.count(F.lit(1)), found.alias("found")).select(
+        F.explode("found").alias("e")
+    ).select("e.*")
 
 
 def null_report(df):

@@ -54,6 +54,15 @@ def page(df, cols=RESULT_COLUMNS, n=PAGE_ROWS, number=1):
     return rows.offset((number - 1) * n).limit(n)
 
 
+def page_after(df, last_id=None, cols=RESULT_COLUMNS, n=PAGE_ROWS):
+    """The page that follows a customer id (None: the first one), in id order.
+
+    The filter reaches the scan and each task keeps n rows, so any page costs as much as the first.
+    """
+    rows = df if last_id is None else df.where(F.col("customer_id") > last_id)
+    return rows.select(*cols).orderBy("customer_id").limit(n)
+
+
 COMPARED = ["tenure_months", "monthly_charges", "cltv", "addon_service_count"]
 
 

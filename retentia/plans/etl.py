@@ -8,7 +8,6 @@ from retentia.operators.clean import run_cleaning
 from retentia.operators.features import run_features
 from retentia.operators.quality import (
     compare_fields,
-    compare_keys,
     require_constraints,
     require_unique_ids,
     run_validation,
@@ -32,6 +31,13 @@ from retentia.sources.tables import (
 )
 
 
+KEY_REPORT = (
+    "primary_row_count long, cross_ref_row_count long, primary_unique_ids long, "
+    "cross_ref_unique_ids long, ids_only_in_primary long, ids_only_in_cross_ref long, "
+    "ids_match_exactly boolean"
+)
+
+
 @dataclass
 class Warehouse:
     """The stored tables of one load."""
@@ -64,8 +70,8 @@ def build_star(spark, wide, root):
 
 def ingest_report(raw, cross):
     """Key and field comparison of the two sources, in one row; ids must be unique."""
-    require_unique_ids(raw, cross)
-    keys = compare_keys(raw, cross).withColumn("one", F.lit(1))
+    checked = require_unique_ids(raw, cross)  # the row that the comparison of keys gave
+    keys = raw.sparkSession.createDataFrame([checked], KEY_REPORT).withColumn("one", F.lit(1))
     agreed = compare_fields(raw, cross).withColumn("one", F.lit(1))
     return keys.join(agreed, "one").drop("one")
 

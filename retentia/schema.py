@@ -117,11 +117,12 @@ COHORTS = {
     "49-60 mo": (60, 5),
     "61-72 mo": (72, 6),
 }
+# --- fixed values: risk tier and points of each contract ---
 RISK_TIERS = {"Month-to-month": "High", "One year": "Medium", "Two year": "Low"}
 CONTRACT_POINTS = {"Two year": 100, "One year": 60}
 CONTRACT_POINTS_OTHER = 20
 
-# variables of the test suites
+# --- fixed values: variables of the test suites ---
 CATEGORICAL_VARS = [
     "contract_type",
     "internet_service",
@@ -166,6 +167,7 @@ CROSS_SCHEMA = T.StructType(
         T.StructField("Churn", T.StringType()),
     ]
 )
+# --- fixed values: columns that make a service plan ---
 SERVICE_PLAN_COLUMNS = [
     "contract_type",
     "internet_service",

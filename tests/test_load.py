@@ -110,7 +110,7 @@ def test_domains_labels_ranges_blanks(spark):
     assert report[("domain", "Gender=X")] == 1
     assert report[("nulls", "Gender")] == 1
     missing = quality.schema_report(df.drop("CLTV").withColumn("extra", F.lit(1)))
-    assert {tuple(r) for r in missing.collect()} == {("missing", "CLTV"), ("unexpected", "extra")}
+    assert {tuple(r) for r in missing.collect()} == {("missing", "CLTV", 0), ("unexpected", "extra", 4)}
 
 
 def test_source_comparison(spark):
