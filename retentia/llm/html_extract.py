@@ -3,13 +3,14 @@
 Every page becomes a tree of nodes (tag, class and id) with texts. Per host one page is the
 pivot: a page with the most nodes, the least digest on ties. Simple tree matching aligns every
 page of the host with the pivot: a matched pair of nodes counts one plus the best order-preserving
-matching of its children. Runs of children with one signature (list items, paragraphs) are one
-repeated node of the wrapper, which keeps alignments small and pages of different length alike.
-Counting over all pages of the host how often a slot of the wrapper is filled and how often with
-its most frequent text tells constant slots (template) from varying ones (content). Pages of one
-title count once, so copies of an article do not make it template. The wrapper of a host is the
-set of its constant slots with their texts; hosts with too few titles have none, and their pages
-are told by structure alone.
+matching of its children, plus one for each text they share. Runs of children with one signature
+(list items, paragraphs) are aligned as one, which keeps alignments small and pages of different
+length alike; counted are the single nodes of the aligned runs. Counting over all pages of the host
+how often a slot of the wrapper is filled and how often with each text tells constant nodes
+(template) from varying ones (content): a slot may hold constant nodes beside varying ones. Pages
+of one title count once, so copies of an article do not make it template. The wrapper of a host is
+the set of its slots with their constant texts; hosts with too few titles have none, and their
+pages are told by structure alone.
 
 On a page, slots that are template and subtrees that are navigation, headers, footers, sidebars,
 adverts, notices, forms, comments or code by tag, role, class or id are left out. What is left
@@ -39,7 +40,7 @@ from retentia.sources.staging import stage
 class Wrapper:
     #: Pages of different titles that fill a slot before it can be template.
     least_pages: int = 4
-    #: Share of those pages that have the slot's most frequent text.
+    #: Share of those pages that have one text in the slot.
     constant: float = 0.8
 
 
@@ -88,7 +89,7 @@ BAND = 50
 
 
 class Node:
-    __slots__ = ("tag", "sign", "words", "children", "clutter")
+    __slots__ = ("tag", "sign", "words", "children", "clutter", "text", "block")
 
     def __init__(self, tag, attributes=""):
         self.tag, self.children = tag, []
@@ -152,35 +153,47 @@ def clean(text):
 
 
 class Slot:
-    """A node of the wrapper: one signature, the texts of its run, its children as slots."""
+    """A run of nodes of one signature: their texts, the children of all of them as slots."""
 
     __slots__ = ("sign", "texts", "children", "path", "nodes")
 
     def __init__(self, sign, path):
-        self.sign, self.path, self.texts, self.children, self.nodes = sign, path, [], [], []
+        self.sign, self.path, self.texts, self.children, self.nodes = sign, path, set(), [], []
 
 
-def slots(node, path=""):
-    """Children of a node as slots: neighbours of one signature run together."""
-    out, texts = [], []
-    for child in node.children:
-        if isinstance(child, str):
-            if child.strip():
-                texts.append(child)
+def annotate(node):
+    """Give every node its text as the wrapper compares it, and whether it holds blocks."""
+    parts, node.block = [], False
+    for c in node.children:
+        if isinstance(c, str):
+            parts.append(clean(c))
             continue
-        if child.tag in RAW:
+        annotate(c)
+        node.block = node.block or c.block or c.tag not in INLINE
+        if c.tag not in RAW and not c.clutter:
+            parts.append(c.text)
+    node.text = " ".join(filter(None, parts))
+    return node
+
+
+def slots(node, path=""):
+    """The slots below a node and the texts of its children: neighbours of one signature run
+    together. Only nodes that blocks() asks for are slots."""
+    return _slots([annotate(node)], path)
+
+
+def _slots(nodes, path):
+    out, texts = [], set()
+    for c in (c for n in nodes for c in n.children):
+        if isinstance(c, str) or c.tag in RAW or c.clutter or c.tag in INLINE and not c.block:
             continue
-        if out and out[-1].sign == child.sign:
-            out[-1].nodes.append(child)
-        else:
-            slot = Slot(child.sign, f"{path}/{child.sign}")
-            slot.nodes.append(child)
-            out.append(slot)
+        if not out or out[-1].sign != c.sign:
+            out.append(Slot(c.sign, f"{path}/{c.sign}"))
+        out[-1].nodes.append(c)
     for slot in out:
-        merged = Node("#")
-        for n in slot.nodes:
-            merged.children.extend(n.children)
-        slot.children, slot.texts = slots(merged, slot.path)
+        slot.texts = {n.text for n in slot.nodes if n.text}
+        slot.children, _ = _slots(slot.nodes, slot.path)
+        texts |= slot.texts
     return out, texts
 
 
@@ -198,7 +211,8 @@ def match(a, b, pairs):
             best = max(score[i, j + 1], score[i + 1, j])
             if a[i].sign == b[j].sign:
                 found = []
-                w = 1 + match(a[i].children, b[j].children, found)
+                # of several runs of one signature the one with the same texts is the same
+                w = 1 + len(a[i].texts & b[j].texts) + match(a[i].children, b[j].children, found)
                 inner[i, j] = found
                 best = max(best, score[i, j] + w)
             score[i + 1, j + 1] = best
@@ -216,22 +230,6 @@ def match(a, b, pairs):
     return int(score[n, m])
 
 
-def slot_text(slot):
-    """All text of a slot's subtree, as the wrapper compares it."""
-    out = []
-
-    def walk(node):
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif c.tag not in RAW:
-                walk(c)
-
-    for n in slot.nodes:
-        walk(n)
-    return clean(" ".join(out))
-
-
 def hash_text(text):
     code = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()
     return int.from_bytes(code, "little", signed=True)
@@ -243,7 +241,8 @@ def _filled(path, text):
 
 
 def _aligned(batches):
-    """(host, slot, slot with its text, title) for every slot aligned with the pivot's."""
+    """(host, slot, slot with a text, title) for every node aligned with the pivot; a slot that is
+    filled has one row without a text besides."""
     for batch in batches:
         out, pivots = [], {}
         for host, page, pivot in zip(
@@ -254,12 +253,15 @@ def _aligned(batches):
                 pivots[host] = (pivot, slots(parse(pivot))[0])
             title = TITLE.search(page)
             title = hash_text(clean(title.group(1)) if title else page)
-            pairs = []
+            pairs, held = [], set()
             match(pivots[host][1], slots(parse(page))[0], pairs)
-            for a, b in pairs:
-                text = slot_text(b)
-                if text:
-                    out.append((host, hash_text(a.path), _filled(a.path, text), title))
+            for _, b in pairs:
+                if b.texts:
+                    # the slot itself counts the pages that fill it
+                    held.add((b.path, None))
+                    held.update((b.path, text) for text in b.texts)
+            of = {p: hash_text(p) for p, _ in held}
+            out += [(host, of[p], None if t is None else _filled(p, t), title) for p, t in held]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
         cols = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays(
@@ -289,15 +291,15 @@ def wrappers(pages, conf=Wrapper()):
     # a host with many pages is split by the join, as its pivot is one row
     pairs = pages.join(chosen, "host").select("host", "html", "pivot")
     aligned = pairs.mapInArrow(_aligned, "host string, slot long, text long, title long")
-    counted = aligned.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
-    filled = counted.groupBy("host", "slot").agg(
-        F.sum("n").alias("filled"), F.max(F.struct("n", "text")).alias("top"))
-    constant = filled.where(
-        (F.col("filled") >= conf.least_pages) & (F.col("top.n") >= conf.constant * F.col("filled")))
-    # one text for a slot of the pivot at most, so a host's template is bounded by its pivot page
+    counted = stage(
+        aligned.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= conf.least_pages), "html-counts")
+    filled = counted.where("text is null").select("host", "slot", F.col("n").alias("filled"))
+    constant = counted.where("text is not null").join(filled, ["host", "slot"]).where(
+        F.col("n") >= conf.constant * F.col("filled"))
+    # a page that fills a slot has few nodes in it, so a host's template is about a page's size
     return stage(
-        constant.groupBy("host").agg(F.collect_set("top.text").alias("template")),
-        "html-wrappers")
+        constant.groupBy("host").agg(F.collect_set("text").alias("template")), "html-wrappers")
 
 
 def _size(node):
@@ -351,12 +353,12 @@ def blocks(node, path="", template=frozenset()):
                 held.append(" ")
             elif c.tag in RAW or c.clutter:
                 close()
-            elif c.tag in INLINE and not _has_block(c):
+            elif c.tag in INLINE and not c.block:
                 walk(c, f"{path}/{c.sign}")
             else:
                 close()
                 at = f"{path}/{c.sign}"
-                if not template or _filled(at, _whole(c)) not in template:
+                if not template or _filled(at, c.text) not in template:
                     walk(c, at)
                     close()
 
@@ -365,19 +367,8 @@ def blocks(node, path="", template=frozenset()):
     return out
 
 
-def _has_block(node):
-    return any(
-        not isinstance(c, str) and (c.tag not in INLINE or _has_block(c)) for c in node.children)
-
-
-def _whole(node):
-    slot = Slot("", "")
-    slot.nodes.append(node)
-    return slot_text(slot)
-
-
 def main_text(page, template=frozenset()):
-    node, path = _find_main(parse(page))
+    node, path = _find_main(annotate(parse(page)))
     return "\n".join(blocks(node, path, template))
 
 

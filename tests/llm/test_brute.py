@@ -267,6 +267,23 @@ def test_html_template_of_a_host(spark):
     assert got[103] == "T0\nOnly here: story 0\nRead more at our site\nend 0 of it"
 
 
+def test_html_constant_node_in_a_run(spark):
+    """A constant plain paragraph, list item or div beside varying ones of its kind is template."""
+    rows = []
+    for k in range(8):
+        more = "".join(f"<p>more {k} {i}</p>" for i in range(k % 3))
+        body = f"<h1>T{k}</h1><p>story {k}</p><p>Get our letter</p>{more}<p>end {k}</p><p>(c) us</p>" \
+               f"<ul><li>item {k}</li><li>Print this</li></ul><div>box {k}</div><div>All rights</div>"
+        page = f"<html><title>T{k}</title><body><article>{body}</article></body></html>"
+        rows.append((k, f"http://h/{k}", page))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_extract.main_texts(pages).collect():
+        k = r.page_id
+        more = [f"more {k} {i}" for i in range(k % 3)]
+        assert r.text.split("\n") == [
+            f"T{k}", f"story {k}", *more, f"end {k}", f"item {k}", f"box {k}"]
+
+
 def test_tree_matching():
     a = html_extract.slots(html_extract.parse("<div><p>1<p>2<ul><li>a<li>b</ul></div>"))[0]
     b = html_extract.slots(html_extract.parse("<h1>x</h1><div><p>3<p>4<p>5<b>i</b></div>"))[0]
