@@ -13,9 +13,11 @@ the set of its slots with their constant texts; hosts with too few titles have n
 pages are told by structure alone.
 
 On a page, slots that are template and subtrees that are navigation, headers, footers, sidebars,
-adverts, notices, forms, comments or code by tag, role, class or id are left out. What is left
-under the article (or main, or the densest part of the body) is the text: character references
-decoded, white space inside a block turned into one space, blocks joined by line breaks in page
+adverts, notices, forms, comments or code by tag, role, class or id are left out. An id is only
+asked of containers inside an article, as ids of headings, sections, paragraphs and anchors name
+what the text is about. What is left
+under the article (or main, or the densest part of the body) and its siblings of the same kind is
+the text: character references decoded, white space inside a block turned into one space, blocks joined by line breaks in page
 order.
 
 A null page is empty and gives an empty string; a null or broken URL belongs to the host ''.
@@ -47,13 +49,17 @@ class Wrapper:
 # Elements by their role in HTML.
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object".split())
 INLINE = frozenset(
     "a abbr b bdi bdo cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr br big label".split())
+    "span strike strong sub sup time tt u var wbr br big label "
+    # formulas are words of their paragraph
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup "
+    "msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction menclose "
+    "semantics annotation annotation-xml".split())
 CLUTTER = frozenset(
     "nav header footer aside form button select dialog menu script style noscript template "
-    "textarea head svg math iframe object canvas audio video fieldset".split())
+    "textarea head svg iframe object canvas audio video fieldset annotation annotation-xml".split())
 CLOSED_BY = {
     "p": frozenset(
         "p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 "
@@ -70,13 +76,17 @@ CLUTTER_WORDS = frozenset(
     "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments reply replies "
     "respond disqus discussion widget pagination pager toolbar search skip hidden".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that can be the article by their class or id.
+NAMED = frozenset("div section td".split())
+#: Elements whose id tells clutter inside an article, too.
+CONTAINERS = frozenset("div ul ol dl table".split())
 MAIN_WORDS = frozenset("article post entry content story main body text".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
-                       re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 SPACES = re.compile(r"[\x09-\x0D\x20]+")
 _WORD = re.compile(r"[a-z]+")
@@ -91,22 +101,30 @@ BAND = 50
 class Node:
     __slots__ = ("tag", "sign", "words", "children", "clutter", "text", "block")
 
-    def __init__(self, tag, attributes=""):
+    def __init__(self, tag, attributes="", inside=False):
         self.tag, self.children = tag, []
-        found = {m[0].lower(): m[1].strip("\"'").lower() for m in ATTRIBUTE.findall(attributes)}
-        self.words = set(_WORD.findall(
-            (found.get("class", "") + " " + found.get("id", "")).replace("_", " ")))
+        found = {}
+        for name, value in ATTRIBUTE.findall(attributes):
+            # the first of two attributes of one name holds
+            found.setdefault(name.lower(), value.strip("\"'").lower())
         names = found.get("class", "")
+        words = set(_WORD.findall(names.replace("_", " ")))
+        self.words = words | set(_WORD.findall(found.get("id", "").replace("_", " ")))
         self.sign = f"{tag}.{names}" if names else tag
+        judged = words if inside and tag not in CONTAINERS or tag in HEADINGS else self.words
         self.clutter = (
             tag in CLUTTER
             or found.get("role") in CLUTTER_ROLES
             or "hidden" in found
             or found.get("aria-hidden") == "true"
             or "display:none" in found.get("style", "").replace(" ", "")
-            or bool(self.words & CLUTTER_WORDS) and tag not in ("html", "body", "article", "main")
+            or bool(judged & CLUTTER_WORDS) and tag not in ("html", "body", "article", "main")
         )
 
+    def holds_article(self):
+        """Whether it is the article or main, or is named so."""
+        return self.tag in ("article", "main") or self.tag in NAMED and bool(self.words & MAIN_WORDS)
+
 
 def parse(page):
     """The tree of a page; children are nodes and strings."""
@@ -135,13 +153,15 @@ def parse(page):
                 break
             if stack[k].tag not in INLINE:
                 break
-        node = Node(tag, m.group(3) or "")
+        attributes = m.group(3) or ""
+        inside = bool(attributes) and any(n.holds_article() for n in stack)
+        node = Node(tag, attributes, inside)
         stack[-1].children.append(node)
         if tag in RAW:
             raw = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
             # raw text is never content; without an end tag it goes on to the end
             at = raw.end() if raw else len(page)
-        elif tag not in VOID and not (m.group(3) or "").endswith("/") and len(stack) < DEPTH:
+        elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
@@ -310,7 +330,10 @@ def _size(node):
 
 
 def _find_main(root):
-    """The node that holds the article and its path: article, main, what is named so, or all."""
+    """The nodes that hold the article and their path: article, main, what is named so, or all.
+
+    An article in several parts is several siblings, all of which are kept in page order.
+    """
     articles, mains, named = [], [], []
 
     def walk(node, path, inside):
@@ -319,20 +342,21 @@ def _find_main(root):
                 continue
             at = f"{path}/{c.sign}"
             if c.tag == "article" and not inside:
-                articles.append((c, at))
+                articles.append((c, at, node))
             elif c.tag == "main":
-                mains.append((c, at))
-            elif c.words & MAIN_WORDS and c.tag in ("div", "section", "td"):
-                named.append((c, at))
+                mains.append((c, at, node))
+            elif c.tag in NAMED and c.words & MAIN_WORDS:
+                named.append((c, at, node))
             walk(c, at, inside or c.tag == "article")
 
     walk(root, "", False)
     for found in (articles, mains, named):
-        # teasers of other articles are short beside the article
-        sizes = [_size(n) for n, _ in found]
+        # teasers of other articles are short beside the article and lie elsewhere
+        sizes = [_size(n) for n, _, _ in found]
         if any(sizes):
-            return found[sizes.index(max(sizes))]
-    return root, ""
+            parent = found[sizes.index(max(sizes))][2]
+            return [(n, at) for n, at, of in found if of is parent]
+    return [(root, "")]
 
 
 def blocks(node, path="", template=frozenset()):
@@ -368,8 +392,8 @@ def blocks(node, path="", template=frozenset()):
 
 
 def main_text(page, template=frozenset()):
-    node, path = _find_main(annotate(parse(page)))
-    return "\n".join(blocks(node, path, template))
+    found = _find_main(annotate(parse(page)))
+    return "\n".join(t for node, path in found for t in blocks(node, path, template))
 
 
 @F.arrow_udf(T.StringType())

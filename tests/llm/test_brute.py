@@ -284,6 +284,28 @@ def test_html_constant_node_in_a_run(spark):
             f"T{k}", f"story {k}", *more, f"end {k}", f"item {k}", f"box {k}"]
 
 
+def test_html_attributes_by_exact_name():
+    links = ['href="/hidden-gems"', 'title="the hidden valley"', 'data-hidden="false"',
+             'href="/page?id=related"', 'href=/a?class=ad', 'data-x="a" alt=\'role="menu"\'']
+    for a in links:
+        assert html_extract.main_text(f"<article><p>one <a {a}>two</a> end</p></article>") == "one two end"
+    for a in ("hidden", 'HIDDEN=""', "class=ad", 'aria-hidden = "true"', 'style="display: none"'):
+        assert html_extract.main_text(f"<article><p>one <a {a}>two</a> end</p></article>") == "one\nend"
+
+
+def test_html_keeps_what_an_id_names_and_all_parts():
+    text = html_extract.main_text(
+        '<article><h2 id="related-work">R</h2><section id="discussion"><p id=search>d</section>'
+        '<div id="comments">c</div><div class="share">s</div></article>')
+    assert text == "R\nd"
+    for tag in ("article", "div class=content"):
+        end = tag.split()[0]
+        page = f"<body><{tag}><p>first part</{end}><{tag}><p>second</{end}><div><{tag}>x</{end}></div>"
+        assert html_extract.main_text(page) == "first part\nsecond"
+    formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>"
+    assert html_extract.main_text(f"<article><p>let {formula} hold</article>") == "let x=2 hold"
+
+
 def test_tree_matching():
     a = html_extract.slots(html_extract.parse("<div><p>1<p>2<ul><li>a<li>b</ul></div>"))[0]
     b = html_extract.slots(html_extract.parse("<h1>x</h1><div><p>3<p>4<p>5<b>i</b></div>"))[0]
