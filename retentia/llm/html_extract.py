@@ -8,9 +8,9 @@ matching of its children, plus one for each text they share. Runs of children wi
 length alike; counted are the single nodes of the aligned runs. Counting over all pages of the host
 how often a slot of the wrapper is filled and how often with each text tells constant nodes
 (template) from varying ones (content): a slot may hold constant nodes beside varying ones. Pages
-of one title count once, so copies of an article do not make it template. The wrapper of a host is
-the set of its slots with their constant texts; hosts with too few titles have none, and their
-pages are told by structure alone.
+that say the same outside their clutter count once, whatever their titles, so copies of an article
+do not make it template. The wrapper of a host is the set of its slots with their constant texts;
+hosts with too few different pages have none, and their pages are told by structure alone.
 
 On a page, slots that are template and subtrees that are navigation, headers, footers, sidebars,
 adverts, notices, forms, comments or code by tag, role, class or id are left out. An id is only
@@ -40,7 +40,7 @@ from retentia.sources.staging import stage
 
 @dataclass(frozen=True)
 class Wrapper:
-    #: Pages of different titles that fill a slot before it can be template.
+    #: Pages of different texts that fill a slot before it can be template.
     least_pages: int = 4
     #: Share of those pages that have one text in the slot.
     constant: float = 0.8
@@ -87,7 +87,6 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 SPACES = re.compile(r"[\x09-\x0D\x20]+")
 _WORD = re.compile(r"[a-z]+")
 
@@ -261,8 +260,8 @@ def _filled(path, text):
 
 
 def _aligned(batches):
-    """(host, slot, slot with a text, title) for every node aligned with the pivot; a slot that is
-    filled has one row without a text besides."""
+    """(host, slot, slot with a text, page) for every node aligned with the pivot; a slot that is
+    filled has one row without a text besides. Pages go by a digest of their text."""
     for batch in batches:
         out, pivots = [], {}
         for host, page, pivot in zip(
@@ -271,21 +270,21 @@ def _aligned(batches):
         ):
             if pivots.get(host, (None,))[0] != pivot:
                 pivots[host] = (pivot, slots(parse(pivot))[0])
-            title = TITLE.search(page)
-            title = hash_text(clean(title.group(1)) if title else page)
+            root = parse(page)
             pairs, held = [], set()
-            match(pivots[host][1], slots(parse(page))[0], pairs)
+            match(pivots[host][1], slots(root)[0], pairs)
+            same = hash_text(root.text)
             for _, b in pairs:
                 if b.texts:
                     # the slot itself counts the pages that fill it
                     held.add((b.path, None))
                     held.update((b.path, text) for text in b.texts)
             of = {p: hash_text(p) for p, _ in held}
-            out += [(host, of[p], None if t is None else _filled(p, t), title) for p, t in held]
+            out += [(host, of[p], None if t is None else _filled(p, t), same) for p, t in held]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
         cols = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "slot", "text", "title"])
+            [pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "slot", "text", "page"])
 
 
 def host_of(url):
@@ -310,7 +309,7 @@ def wrappers(pages, conf=Wrapper()):
     chosen = stage(chosen.groupBy("host").agg(F.first("html").alias("pivot")), "html-pivot-pages")
     # a host with many pages is split by the join, as its pivot is one row
     pairs = pages.join(chosen, "host").select("host", "html", "pivot")
-    aligned = pairs.mapInArrow(_aligned, "host string, slot long, text long, title long")
+    aligned = pairs.mapInArrow(_aligned, "host string, slot long, text long, page long")
     counted = stage(
         aligned.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
         .where(F.col("n") >= conf.least_pages), "html-counts")

@@ -284,6 +284,21 @@ def test_html_constant_node_in_a_run(spark):
             f"T{k}", f"story {k}", *more, f"end {k}", f"item {k}", f"box {k}"]
 
 
+def test_html_host_of_one_title(spark):
+    """Pages that share the site's title have a template; copies with titles of their own do not
+    make one."""
+    def page(title, k):
+        return f"<html><title>{title}</title><body><article><p>story {k}</p><p>Read more at our site</p>" \
+               "</article></body></html>"
+
+    rows = [(k, f"http://h/{k}", page("Our site", k)) for k in range(6)]
+    rows += [(100 + k, f"http://c/{k}", page(f"Title {k}", 0)) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_texts(pages).collect()}
+    assert [got[k] for k in range(6)] == [f"story {k}" for k in range(6)]
+    assert {got[100 + k] for k in range(6)} == {"story 0\nRead more at our site"}
+
+
 def test_html_attributes_by_exact_name():
     links = ['href="/hidden-gems"', 'title="the hidden valley"', 'data-hidden="false"',
              'href="/page?id=related"', 'href=/a?class=ad', 'data-x="a" alt=\'role="menu"\'']
