@@ -2,7 +2,9 @@
 
 Detected are e-mail addresses, phone numbers, IPv4 addresses, payment cards (check digit and
 issuer prefix), IBANs (check digits), social security numbers, secrets after a naming word, and
-person names (a known given name or a title before capitalized words).
+person names (a known given name or a title before capitalized words). A card or an IBAN may have
+more groups behind it (expiry, security code, BIC): it ends where its checks hold, at its issuer's
+or country's length if they hold there.
 
 A surrogate depends on the key, the type and the normalized entity alone, so one entity reads the
 same everywhere (coreference). Digits and letters go through a keyed permutation of the strings
@@ -46,6 +48,20 @@ TITLES = {
     "": "Dr Prof".split(),
 }
 CARD_PREFIX = re.compile(r"4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|6011|64[4-9]|65|3[47]|35")
+#: Digits of a card by its issuer prefix, characters of an IBAN by its country.
+CARD_LENGTHS = [
+    (re.compile("4"), {13, 16, 19}), (re.compile("5[1-5]|2"), {16}), (re.compile("3[47]"), {15}),
+    (re.compile("6|35"), {16, 17, 18, 19}),
+]
+IBAN_LENGTHS = {
+    country: n for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for country in countries.split()
+}
 
 ALPHABETS = {
     "digit": "0123456789",
@@ -104,6 +120,11 @@ def _luhn(digits):
     return total % 10
 
 
+def _card_ok(value):
+    digits = re.sub(r"[ -]", "", value)
+    return 13 <= len(digits) <= 19 and bool(CARD_PREFIX.match(digits)) and _luhn(digits) == 0
+
+
 def _iban_ok(value):
     v = value.replace(" ", "")
     return len(v) >= 15 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
@@ -115,17 +136,30 @@ def _span(match):
     for group, of in (("secret_value", "secret"), ("titled", "name"), ("known", "name")):
         if match.group(group) is not None:
             return of, *match.span(group)
-    value = match.group()
-    digits = re.sub(r"\D", "", value)
-    if kind == "card" and not (
-        13 <= len(digits) <= 19 and CARD_PREFIX.match(digits) and _luhn(digits) == 0
-    ):
-        return None
-    if kind == "iban" and not _iban_ok(value):
-        return None
+    if kind in ("card", "iban"):
+        end = _checked_end(kind, match.group())
+        return end and (kind, match.start(), match.start() + end)
     return kind, *match.span()
 
 
+def _checked_end(kind, value):
+    """Where a card or an IBAN at the start of a match ends: at its end or at a group's border.
+
+    Ends at a length of the issuer or country go first, then longer ones; None if no check holds.
+    """
+    ends = [m.start() for m in re.finditer(r"[ -]|\Z", value)]
+    size = {end: len(re.sub(r"[ -]", "", value[:end])) for end in ends}
+    if kind == "card":
+        usual = next((n for prefix, n in CARD_LENGTHS if prefix.match(value)), ())
+    else:
+        usual = {IBAN_LENGTHS.get(value[:2])}
+    ok = _card_ok if kind == "card" else _iban_ok
+    for end in sorted(ends, key=lambda e: (size[e] not in usual, -e)):
+        if ok(value[:end]):
+            return end
+    return None
+
+
 def entities(text):
     """(kind, start, end) of every entity of a text, in order."""
     out, at = [], 0

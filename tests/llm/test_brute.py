@@ -235,6 +235,25 @@ def test_surrogates_are_distinct_and_keep_formats():
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4};", new)
 
 
+def test_cards_and_ibans_with_more_behind_them():
+    for kind, value, behind in [
+        ("card", "4111 1111 1111 1111", " 12/27"), ("card", "4111111111111111", " 123"),
+        ("card", "4111-1111-1111-1111", "-12 a"), ("card", "378282246310005", " 1234."),
+        ("card", "5500 0000 0000 0004", " 123 12/27"), ("card", "4222222222222", " 12 123"),
+        ("iban", "AT611904300234573201", " BIC"), ("iban", "BE68539007547034", " BIC GEBABEBB"),
+        ("iban", "ES91 2100 0418 4502 0005 1332", " BIC"), ("iban", "DE89370400440532013000", " BIC X"),
+        ("iban", "AT61 1904 3002 3457 3201", " RZOOAT2L"), ("iban", "NO9386011117947", " BIC"),
+    ]:
+        text = f"pay {value}{behind}"
+        assert [(k, text[a:b]) for k, a, b in pii.entities(text)] == [(kind, value)], text
+        new = pii.replace(text)
+        assert value not in new and new.endswith(behind) and len(new) == len(text)
+    # two digits behind a card can hold the check by chance; the issuer's length goes first
+    by_chance = next(f"{k:02d}" for k in range(100) if pii._luhn(f"4111111111111111{k:02d}") == 0)
+    assert pii.entities(f"4111111111111111 {by_chance}") == [("card", 0, 16)]
+    assert pii.entities("4111 1111 1111 1112 12/27") == []
+
+
 def test_collisions_are_keyed_anew(spark):
     """One letter has 25 surrogates, so 40 addresses that differ by their ending must collide."""
     conf = pii.Surrogates()
