@@ -248,3 +248,29 @@ def test_logit_against_newton_steps(spark):
     assert [r.coefficient for r in got] == pytest.approx(list(beta), rel=1e-4)
     assert [r.std_error for r in got] == pytest.approx(list(se), rel=1e-4)
     assert got[0].mcfadden_r2 == pytest.approx(1 - ll / ll0, rel=1e-4)
+
+
+def test_tuning_queries_use_the_whole_grid(spark, monkeypatch):
+    """Both queries share one tuning of all 27 points; the comparison has the default sizes."""
+    from checks import queries_models as Q
+    from checks.queries import QUERIES
+    from retentia.operators.models.prep import Sizes
+    from tests.conftest import SMALL
+
+    calls = []
+
+    def tune(train, grid=churn.GRID, *args, **kwargs):
+        points = [dict(zip(grid, v)) for v in churn.product(*grid.values())]
+        calls.append(churn.Tuned(points, [0.5] * len(points), None))
+        return calls[-1]
+
+    def run_churn(wide, sizes=Sizes(), grid=churn.GRID, tuned=None):
+        assert sizes == Sizes() and tuned is calls[0]
+        return wide
+
+    monkeypatch.setattr(Q, "_FITTED", {})
+    monkeypatch.setattr(Q.churn, "tune", tune)
+    monkeypatch.setattr(Q.jobs, "run_churn", run_churn)
+    assert QUERIES["m3_tuning_grid"](spark, SMALL).count() == 27
+    QUERIES["m12_churn_pipeline"](spark, SMALL)
+    assert len(calls) == 1
