@@ -359,6 +359,10 @@ def test_toxicity_held_out(spark):
     assert auc > 0.75
 
 
+def test_sample_is_not_lowered():
+    assert toxicity.Model().per_label >= 4000
+
+
 def test_unseen_misspellings():
     words = ["idiot", "moron", "stupid", "pathetic"]
     rng = np.random.default_rng(0)
