@@ -1,10 +1,11 @@
 """The registered queries of this package: each applies one operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from retentia.llm import (
-    chat, decontaminate, html_extract, lm_score, mixing, near_join, pii, quality_rules, toxicity,
-    warc,
+    ball_search, bpe, chat, decontaminate, filter_audit, html_extract, lm_score, mixing, near_join,
+    pii, quality_rules, toxicity, warc,
 )
 from retentia.llm.common import load
 
@@ -194,3 +195,62 @@ def op5(spark, sf_dir):
 @query("op1_main_text")
 def op1(spark, sf_dir):
     return html_extract.main_texts(load(spark, sf_dir, "pages"))
+
+
+@query("op11_ball_search")
+def op11(spark, sf_dir):
+    return ball_search.searched(
+        load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op12_bpe_round_trip")
+def op12(spark, sf_dir):
+    vocabulary = bpe.Vocabulary.read(
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(bpe.encoded(load(spark, sf_dir, "documents"), vocabulary), vocabulary)
+
+
+AUDIT_SQL = r"""
+WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT c AS o FROM letters
+  UNION ALL SELECT o || c FROM orders, letters WHERE NOT contains(o, c)
+), steps AS (
+  SELECT o AS filter_order, step, substr(o, step, 1) AS f, substr(o, 1, step - 1) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step) WHERE length(o) = 5
+), docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+         max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, concat(
+    CASE WHEN len(w) < 200 THEN 'A' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END) AS m
+  FROM docs LEFT JOIN known USING (doc_id)
+), counts AS (
+  SELECT part, m, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM judged GROUP BY ALL
+), hits AS (
+  SELECT *, contains(m, f) AS fails,
+         len(translate(m, earlier, '')) < len(m) AS gone FROM counts, steps
+)
+SELECT part, filter_order, step,
+       CAST(coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (WHERE m = f), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(bad) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * 120 // greatest(length(m), 1)) FILTER (WHERE fails), 0) AS BIGINT) AS shapley
+FROM hits GROUP BY part, filter_order, step
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13(spark, sf_dir):
+    return filter_audit.audit(
+        spark, f"{sf_dir}/documents.parquet", load(spark, sf_dir, "labels"))
