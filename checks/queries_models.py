@@ -1,15 +1,16 @@
 """Model queries. Evaluation runs on a given score and has reference SQL; fits return rows only.
 
-Fits have the published sizes. The tuning grid is whole: 27 points in 3 folds are 81 boosted fits,
-made once and shared by `m3` and `m12`.
+Fits have the published sizes. Final models and the tuning of the whole grid are kept in the model
+store, so queries of any session share them.
 """
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.oracle import N, big, pct, rd, avg
 from checks.registry import query
 from retentia.functions.columns import rounded
-from retentia.operators.models import churn, evaluate, explain, ltv, segment, upsell
+from retentia.operators.models import churn, evaluate, explain, ltv, segment, store, trees, upsell
 from retentia.operators.models.prep import CHURN, Sizes, encoding_stages, category_levels, with_split
 from retentia.plans import models as jobs
 from retentia.schema import ADDONS
@@ -24,7 +25,7 @@ def fitted(w):
     """Final churn and value models of a warehouse, fitted once and shared by the queries."""
     if w.root not in _FITTED:
         train, test = churn.split_frames(w.wide)
-        churn_model = churn.fit_pipeline(train, churn.boosted(SIZES))
+        churn_model = store.fit_once(train, churn.boosted(SIZES), CHURN, churn.fit_pipeline)
         ltv_model, _ = ltv.fit_final(w.wide, sizes=SIZES)
         _FITTED[w.root] = (train, test, churn_model, ltv_model)
     return _FITTED[w.root]
@@ -244,7 +245,6 @@ _SLOTS = " + ".join(f"(SELECT COUNT(DISTINCT {c}) - 1 FROM wide)" for c in CHURN
 @query("m1_encoded_features", f"SELECT customer_id, {big(f'4 + {_SLOTS}')} AS slots FROM wide")
 def _(w):
     from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
 
     levels = category_levels(w.wide, CHURN)
     prep = Pipeline(stages=encoding_stages(levels, CHURN)).fit(w.wide)
@@ -291,6 +291,26 @@ def _(w):
     return w.raw.sparkSession.createDataFrame(names, "feature string")
 
 
+@query(
+    "m8c_tree_walk",
+    """SELECT 'churn' AS model, COUNT(*) AS customers, TRUE AS equal FROM wide
+    UNION ALL SELECT 'cltv', COUNT(*), TRUE FROM wide""",
+)
+def _(w):
+    """Scores by walking the exported nodes against those of the models."""
+    _, _, churn_model, ltv_model = fitted(w)
+    parts = []
+    for name, model in (("churn", churn_model), ("cltv", ltv_model)):
+        rows = model.transform(w.wide)
+        own = vector_to_array("probability")[1] if name == "churn" else F.col("prediction")
+        both = trees.walk_scores(model, rows, own.alias("own"))
+        far = F.abs(F.col("score") - F.col("own")) / F.greatest(F.lit(1.0), F.abs("own"))
+        parts.append(both.agg(
+            F.lit(name).alias("model"), F.count("*").alias("customers"),
+            F.every(far < 1e-9).alias("equal")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("m9_overfit_report")
 def _(w):
     train, test, model, _ = fitted(w)
@@ -389,6 +409,43 @@ def _(w):
     return segment.run_segmentation(w.wide, range(2, 9), SIZES)
 
 
+_AXES = [(a, b) for i, a in enumerate(segment.CLUSTER_FEATURES) for b in segment.CLUSTER_FEATURES[i:]]
+
+
+@query(
+    "m21b_feature_covariance",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS feature, '{b}' AS other,"
+        f" {rd(f'CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))', 6)} AS covariance FROM wide"
+        for a, b in _AXES
+    ),
+)
+def _(w):
+    """Covariances of the scaled features, which the principal axes are found from."""
+    names = segment.CLUSTER_FEATURES
+    rows = [(names[i], names[j], v) for i, j, v in segment.covariance(segment.scaled_features(w.wide))]
+    table = w.raw.sparkSession.createDataFrame(rows, "feature string, other string, covariance double")
+    return table.withColumn("covariance", rounded(F.col("covariance"), 6).cast("double"))
+
+
+@query(
+    "m21c_principal_axes",
+    " UNION ALL ".join(
+        f"SELECT {big(c)} AS component, {big(len(segment.CLUSTER_FEATURES))} AS loadings, TRUE AS solved,"
+        " TRUE AS unit_length, TRUE AS signed FROM (SELECT COUNT(*) FROM wide)"
+        for c in range(1, len(segment.CLUSTER_FEATURES) + 1)
+    ),
+)
+def _(w):
+    """Every axis solves A v = lambda v, has length 1, and its largest loading is positive."""
+    table = segment.axes_report(segment.scaled_features(w.wide))
+    largest = F.max_by("loading", F.abs("loading"))
+    return table.groupBy("component").agg(
+        F.count("*").alias("loadings"), (F.max("residual") < 1e-9).alias("solved"),
+        (F.abs(F.sum(F.col("loading") * F.col("loading")) - 1) < 1e-9).alias("unit_length"),
+        (largest > 0).alias("signed"))
+
+
 @query("m21_projected_centres")
 def _(w):
     return segment.projected_centres(w.wide, sizes=SIZES)

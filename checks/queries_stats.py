@@ -149,6 +149,21 @@ def _(w):
     return H.anova_effects(w.wide)
 
 
+@query(
+    "t10b_test_statistics",
+    f"""SELECT 'chi2' AS family, variable, {rd('chi2', 2)} AS statistic, {rd('v', 4)} AS effect FROM chiv
+    UNION ALL SELECT 't', variable, {rd('diff / se', 3)}, {rd('d', 3)} FROM tst
+    UNION ALL SELECT 'F', value_variable || ' by ' || group_variable, f_stat, eta_squared
+    FROM ({" UNION ALL ".join(_anova(g, v) for g, v in H.ANOVAS)})""",
+    CHI,
+    WELCH,
+)
+def _(w):
+    """The suite without its p-values, which SQL has no function for."""
+    cols = [F.col(c).cast("double").alias(c) for c in ("statistic", "effect")]
+    return H.suite_rows(w.wide).select("family", "variable", *cols)
+
+
 @query("t10_test_suite")
 def _(w):
     return H.suite_rows(w.wide)
@@ -213,6 +228,30 @@ def _(w):
     return R.logistic_regression(R.add_contract_dummies(w.wide), R.LOGIT_FEATURES)
 
 
+@query(
+    "t12b_logit_optimum",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS model, {big(k)} AS coefficients, COUNT(*) AS n_obs, TRUE AS stationary,
+        TRUE AS errors_agree FROM wide"""
+        for name, k in (("standardized", len(R.LOGIT_FEATURES) + 1), ("raw_units", len(R.LOGIT_BUSINESS) + 1))
+    ),
+)
+def _(w):
+    """The slope of the likelihood vanishes at both fits, and their errors are those of its curvature."""
+    df, parts = R.add_contract_dummies(w.wide), []
+    for name, features, scaled in (
+        ("standardized", R.LOGIT_FEATURES, True), ("raw_units", R.LOGIT_BUSINESS, False)
+    ):
+        table = R.logistic_optimum(df, features, standardize=scaled)
+        off = F.abs(F.col("std_error") / F.col("std_error_fisher") - 1)
+        parts.append(table.agg(
+            F.lit(name).alias("model"), F.count("*").alias("coefficients"),
+            F.max("n_obs").alias("n_obs"),
+            F.every(F.abs(F.col("mean_gradient")) < 1e-4).alias("stationary"),
+            F.every(off < 1e-3).alias("errors_agree")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("t13_logistic_raw_units")
 def _(w):
     df = R.add_contract_dummies(w.wide)
@@ -224,9 +263,20 @@ def _(w):
     return R.suite_coefficients(w.wide)
 
 
-@query("t15_ols_agreement")
+@query(
+    "t15_ols_agreement",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS feature, {rd(b, 4)} AS coefficient, {rd(b, 4)} AS other,
+        0e0 AS relative_difference FROM f"""
+        for name, b in (("Intercept", "b0"), ("tenure_months", "b1"), ("monthly_charges", "b2"))
+    ),
+    _COV,
+)
 def _(w):
-    return R.ols_agreement(w.wide, R.OLS_FEATURES, "total_charges")
+    table = R.ols_agreement(w.wide, R.OLS_FEATURES, "total_charges")
+    cols = ("coefficient", "other", "relative_difference")
+    return table.select(
+        "feature", *[H.rounded(F.col(c), 4).cast("double").alias(c) for c in cols])
 
 
 @query(

@@ -10,15 +10,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import ladder
+from retentia.operators.models import store, trees
 from retentia.operators.models.evaluate import auc, confusion, quality_columns
 from retentia.operators.models.prep import (
     CHURN,
     CHURN_EXTENDED,
     Sizes,
     category_levels,
+    encoded_folds,
     encoding_stages,
     slot_names,
-    training_folds,
     with_folds,
     with_split,
 )
@@ -88,31 +89,31 @@ def fold_table(scored, label, groups):
     )
 
 
+def held_out_scores(folds, fits, label):
+    """Staged held-out scores of fits {(name, fold): model}, with the name as `model`."""
+    parts = [
+        churn_probability(m, folds[f].held, label, "fold").withColumn("model", F.lit(name))
+        for (name, f), m in fits.items()
+    ]
+    return stage(reduce(lambda a, b: a.unionByName(b), parts), "held-out")
+
+
 def cross_validate(df, sizes=Sizes(), features=CHURN, names=None):
     """Stratified k-fold comparison.
 
-    Models of all folds are fitted as concurrent Spark jobs; the held-out scores of all of them
-    form one staged table, and every metric comes from that table at once.
+    Every fold is encoded once; the models of all folds are fitted as concurrent Spark jobs over
+    these vectors. The held-out scores of all of them form one staged table, and every metric comes
+    from that table at once.
     """
     keep = [*features.columns, LABEL, "customer_id"]
     folded = with_folds(df.select(*keep), LABEL, sizes.folds)
-    frames, rows = training_folds(folded, LABEL, sizes.folds)
+    folds, rows = encoded_folds(folded, features, LABEL, sizes.folds)
     names = names or list(candidates(sizes, rows))
     jobs = [(n, f) for n in names for f in range(sizes.folds)]
     models = in_parallel(
-        [
-            lambda n=n, f=f: fit_pipeline(frames[f], candidates(sizes, rows)[n], features)
-            for n, f in jobs
-        ]
+        [lambda n=n, f=f: candidates(sizes, rows)[n].fit(folds[f].train) for n, f in jobs]
     )
-    held_out = [
-        churn_probability(m, folded.where(F.col("fold") == f), LABEL, "fold").withColumn(
-            "model", F.lit(n)
-        )
-        for (n, f), m in zip(jobs, models)
-    ]
-    scored = stage(reduce(lambda a, b: a.unionByName(b), held_out), "held-out")
-    return fold_table(scored, LABEL, ["model"])
+    return fold_table(held_out_scores(folds, dict(zip(jobs, models)), LABEL), LABEL, ["model"])
 
 
 def compare_feature_sets(df, sizes=Sizes()):
@@ -139,38 +140,70 @@ class Tuned:
     bestModel: PipelineModel
 
 
-def tune(train, grid=GRID, features=CHURN, folds=3, seed=42, parallelism=4):
+def tune(train, grid=GRID, features=CHURN, folds=3, seed=42, parallelism=None):
     """Grid search by cross-validated AUC.
 
-    Every fold encodes with the levels of its own training rows, so a level that occurs in the
-    held-out rows alone is no error. Held-out scores of all fits form one staged table.
+    Boosting adds trees one by one, so the first n trees of a long fit are the fit of n rounds:
+    each (depth, step, fold) is fitted once with the most rounds, and its held-out rows are scored
+    with every number of rounds of the grid. Every fold is encoded once, with the levels of its own
+    training rows, so a level that occurs in the held-out rows alone is no error.
     """
+    points = _points(grid)
+    scores = _tuning_scores(train, grid, points, features, folds, seed, parallelism)
+    best = points[scores.index(max(scores))]
+    final = GBTClassifier(labelCol=LABEL, seed=seed, **best)
+    return Tuned(points, scores, store.fit_once(train, final, features, fit_pipeline))
+
+
+def _points(grid):
     names = list(grid)
-    points = [dict(zip(names, values)) for values in product(*grid.values())]
-    make = lambda point: GBTClassifier(labelCol=LABEL, seed=seed, **point)
+    return [dict(zip(names, values)) for values in product(*grid.values())]
+
+
+def _tuning_scores(train, grid, points, features, folds, seed, parallelism):
+    """Mean AUC of each point; the table of them is kept in the model store."""
+    key = store.model_key(
+        train, GBTClassifier(labelCol=LABEL, seed=seed), features, grid=grid, folds=folds)
+    schema = "rounds int, maxDepth int, stepSize double, m double"
+    spark = train.sparkSession
+    rows = store.kept(
+        spark, key,
+        lambda: _tuning_means(train, grid, features, folds, seed, parallelism, key),
+        lambda table, path: table.write.parquet(path),
+        lambda path: spark.read.schema(schema).parquet(path).collect())
+    means = {(r.rounds, r.maxDepth, r.stepSize): r.m for r in rows}
+    return [means[p["maxIter"], p["maxDepth"], float(p["stepSize"])] for p in points]
+
+
+def _tuning_means(train, grid, features, folds, seed, parallelism, key):
+    """Mean AUC by rounds, depth and step.
+
+    The nodes of each fit are kept in the store as it ends, so a tuning that was stopped goes on
+    from there.
+    """
+    rounds, spark = sorted(grid["maxIter"]), train.sparkSession
     folded = with_folds(train.select(*features.columns, LABEL, "customer_id"), LABEL, folds)
-    jobs = [(k, f) for k in range(len(points)) for f in range(folds)]
-    models = in_parallel(
-        [
-            lambda k=k, f=f: fit_pipeline(
-                folded.where(F.col("fold") != f), make(points[k]), features
-            )
-            for k, f in jobs
-        ],
-        parallelism,
-    )
+    encoded, _ = encoded_folds(folded, features, LABEL, folds, balanced=False)
+
+    def nodes(depth, step, fold):
+        gbt = GBTClassifier(
+            labelCol=LABEL, seed=seed, maxIter=rounds[-1], maxDepth=depth, stepSize=step)
+        return store.kept(
+            spark, f"{key}-{depth}-{step}-{fold}",
+            lambda: trees.node_table(gbt.fit(encoded[fold].train)),
+            lambda table, path: table.coalesce(1).write.parquet(path), spark.read.parquet)
+
+    jobs = list(product(grid["maxDepth"], grid["stepSize"], range(folds)))
+    tables = in_parallel([lambda j=j: nodes(*j) for j in jobs], parallelism)
     held_out = [
-        churn_probability(m, folded.where(F.col("fold") == f), LABEL, "fold").withColumn(
-            "point", F.lit(k)
-        )
-        for (k, f), m in zip(jobs, models)
+        trees.prefix_scores(table, depth, encoded[fold].held, rounds, LABEL, "fold")
+        .withColumns({"maxDepth": F.lit(depth), "stepSize": F.lit(float(step))})
+        for (depth, step, fold), table in zip(jobs, tables)
     ]
     scored = stage(reduce(lambda a, b: a.unionByName(b), held_out), "tuning")
-    per = auc(scored, LABEL, "score", by=["point", "fold"])
-    means = {r.point: r.m for r in per.groupBy("point").agg(F.avg("auc").alias("m")).collect()}
-    scores = [means[k] for k in range(len(points))]
-    best = points[scores.index(max(scores))]
-    return Tuned(points, scores, fit_pipeline(train, make(best), features))
+    point = ["rounds", "maxDepth", "stepSize"]
+    per = auc(scored, LABEL, "score", by=[*point, "fold"])
+    return per.groupBy(*point).agg(F.avg("auc").alias("m"))
 
 
 def tuning_table(spark, tuned):

@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
@@ -9,10 +10,11 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from retentia.operators.ranks import global_order
 from retentia.schema import ADDONS
+from retentia.session import in_parallel
 from retentia.sources.staging import stage
 
 
@@ -196,3 +198,43 @@ def training_folds(folded, label, k, name="weight"):
             folded.where(F.col("fold") != fold).withColumn(name, balanced_weight(counts, label))
         )
     return frames, sum(r.c for r in rows)
+
+
+#: Rows of encoded vectors that one task of a fit reads at least.
+ROWS_PER_TASK = 50_000
+
+
+@dataclass(frozen=True)
+class EncodedFold:
+    """One fold with all its rows as vectors, encoded by the levels of its training rows."""
+
+    fold: int
+    train: DataFrame
+    held: DataFrame
+
+
+def encoded_folds(folded, features, label, k, balanced=True):
+    """One staged vector table per fold, with label, weight, fold and id, which all fits read.
+
+    The encoding of a fold is found once, on its training rows; each table is written in as many
+    parts as its rows need, so that small folds are one task and large ones stay spread out.
+    """
+    frames, rows = training_folds(folded, label, k) if balanced else (
+        [folded.where(F.col("fold") != f).withColumn("weight", F.lit(1.0)) for f in range(k)],
+        folded.count())
+
+    def encode(fold):
+        train = frames[fold]
+        levels = category_levels(train, features)
+        prep = Pipeline(stages=encoding_stages(levels, features)).fit(train)
+        every = train.unionByName(
+            folded.where(F.col("fold") == fold).withColumn("weight", F.lit(1.0)))
+        vectors = prep.transform(every).select(
+            label, "weight", "features", "fold", (F.col("fold") == fold).alias("held"))
+        return stage(vectors.coalesce(max(1, rows // ROWS_PER_TASK)), "encoded", ["held"])
+
+    tables = in_parallel([lambda f=f: encode(f) for f in range(k)])
+    return [
+        EncodedFold(f, t.where("NOT held").drop("held"), t.where("held").drop("held"))
+        for f, t in enumerate(tables)
+    ], rows

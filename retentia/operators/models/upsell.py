@@ -12,7 +12,7 @@ from retentia.operators.models.evaluate import auc
 from retentia.operators.models.prep import (
     UPSELL,
     Sizes,
-    training_folds,
+    encoded_folds,
     with_balanced_weight,
     with_folds,
 )
@@ -50,17 +50,17 @@ def service_metrics(df, sizes=Sizes(), services=ADDONS):
 
     Held-out scores of all services and folds form one staged table.
     """
-    tasks, held = [], []
+    k, encoded = sizes.folds, {}
     for service in services:
-        folded = with_folds(training_rows(df, service), TARGET, sizes.folds)
-        frames, _ = training_folds(folded, TARGET, sizes.folds)
-        for fold, frame in enumerate(frames):
-            tasks.append(lambda frame=frame: fit_pipeline(frame, _forest(sizes), UPSELL))
-            held.append((service, folded.where(F.col("fold") == fold)))
-    models = in_parallel(tasks)
+        folded = with_folds(training_rows(df, service), TARGET, k)
+        encoded[service], _ = encoded_folds(folded, UPSELL, TARGET, k)
+    jobs = [(s, f) for s in services for f in range(sizes.folds)]
+    models = in_parallel(
+        [lambda s=s, f=f: _forest(sizes).fit(encoded[s][f].train) for s, f in jobs]
+    )
     parts = [
-        churn_probability(m, rows, TARGET, "fold").withColumn("service", F.lit(service))
-        for m, (service, rows) in zip(models, held)
+        churn_probability(m, encoded[s][f].held, TARGET, "fold").withColumn("service", F.lit(s))
+        for (s, f), m in zip(jobs, models)
     ]
     scored = stage(reduce(lambda a, b: a.unionByName(b), parts), "held-out")
     areas = auc(scored, TARGET, "score", by=["service", "fold"])

@@ -1,7 +1,10 @@
 """Linear and logistic regression with classical inference, on Spark ML."""
 
 import math
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import functions as F
@@ -107,6 +110,46 @@ def logistic_regression(df, features, target="churn_flag", standardize=True):
     return df.sparkSession.createDataFrame(rows, LOGIT_SCHEMA)
 
 
+OPTIMUM_SCHEMA = (
+    "feature string, coefficient double, mean_gradient double, std_error double,"
+    " std_error_fisher double, n_obs long"
+)
+
+
+def logistic_optimum(df, features, target="churn_flag", standardize=True):
+    """Proof of a logit fit: slope of the likelihood and errors at the fitted coefficients.
+
+    One aggregate over the rows gives the score vector, which vanishes at the maximum, and the
+    Fisher information, whose inverse holds the squared standard errors. Both are k x k sums.
+    """
+    table = logistic_regression(df, features, target, standardize)
+    fit = {r.feature: r for r in table.collect()}
+    names = ["Intercept", *features]
+    data = _standardized(df, features) if standardize else df
+    cols = [F.col(f"`{c}`").cast("double").alias(c) for c in features]
+    rows = data.select(*cols, F.col(target).cast("double").alias("_y")).dropna()
+    x = [F.lit(1.0), *map(F.col, features)]
+    eta = reduce(add, [F.lit(fit[n].coefficient) * v for n, v in zip(names, x)])
+    rows = rows.withColumn("_p", 1 / (1 + F.exp(-eta)))
+    miss, spread = F.col("_y") - F.col("_p"), F.col("_p") * (1 - F.col("_p"))
+    k = len(names)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(miss * v).alias(f"u{i}") for i, v in enumerate(x)],
+        *[F.sum(spread * x[i] * x[j]).alias(f"i{i}_{j}") for i, j in upper],
+    ).first()
+    fisher = np.zeros((k, k))
+    for i, j in upper:
+        fisher[i, j] = fisher[j, i] = sums[f"i{i}_{j}"]
+    errors = np.sqrt(np.diag(np.linalg.inv(fisher)))
+    out = [
+        (n, fit[n].coefficient, sums[f"u{i}"] / sums.n, fit[n].std_error, float(errors[i]), sums.n)
+        for i, n in enumerate(names)
+    ]
+    return df.sparkSession.createDataFrame(out, OPTIMUM_SCHEMA)
+
+
 OLS_FEATURES = ["tenure_months", "monthly_charges"]
 LOGIT_FEATURES = [
     "tenure_months",

@@ -35,8 +35,13 @@ def build_local(cores="*", shuffle_partitions=8, memory="8g", **extra):
     )
 
 
-def in_parallel(tasks, width=4):
-    """Run independent Spark jobs from a few driver threads, results in order."""
+def in_parallel(tasks, width=None):
+    """Run independent Spark jobs from driver threads, results in order.
+
+    Without a width, as many at once as the cluster has slots, from 4 to 32.
+    """
+    slots = SparkSession.active().sparkContext.defaultParallelism
+    width = width or max(4, min(32, slots))
     with ThreadPool(min(width, len(tasks))) as pool:
         inherit = inheritable_thread_target(SparkSession.active())
         return pool.map(lambda task: inherit(task)(), tasks)
