@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.oracle import CHURNED, N, RATE, avg, big, dbl, pct, rd
 from checks.registry import query
 from retentia.operators import kpis, rollups, rules
+from retentia.sources import upsert
 from retentia.sources.staging import new_path
 
 LOST = "SUM(CASE WHEN churn_flag = 1 THEN monthly_charges ELSE 0 END)"
@@ -327,6 +328,22 @@ def _(w):
     return rules.update_churn_scores(w.star, new).select("customer_key", "churn_score")
 
 
+_UPDATED = f"""SELECT ROW_NUMBER() OVER (ORDER BY customer_id) AS customer_key,
+    {big("CASE WHEN contract_type = 'One year' THEN 100 - churn_score ELSE churn_score END")}
+      AS churn_score FROM wide"""
+
+
+@query("fn2b_stored_scores", _UPDATED)
+def _(w):
+    """The same update stored: files without a changed row enter the new version by reference."""
+    spark, root = w.raw.sparkSession, new_path(w.raw.sparkSession, "stored-fact")
+    upsert.create(w.star.fact_subscription, root, ["churn_flag"])
+    new = w.wide.where(F.col("contract_type") == "One year").select(
+        "customer_id", (100 - F.col("churn_score")).alias("churn_score"))
+    rules.store_churn_scores(w.star, root, new)
+    return upsert.read(spark, root).select("customer_key", "churn_score")
+
+
 @query(
     "x12_precomputed_scores",
     f"""SELECT ROW_NUMBER() OVER (ORDER BY customer_id) AS customer_key, churn_score_decile,

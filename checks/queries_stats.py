@@ -136,10 +136,10 @@ def _(w):
     return H.rate_interval_by_group(w.wide)
 
 
-def _anova(g, v):
+def _anova(g, v, digits=4):
     return f"""SELECT '{g}' AS group_variable, '{v}' AS value_variable,
     {rd('(SUM(n * (m - gm) * (m - gm)) / (COUNT(*) - 1)) / (SUM(n * vp) / (SUM(n) - COUNT(*)))')} AS f_stat,
-    {rd('SUM(n * (m - gm) * (m - gm)) / (SUM(n * (m - gm) * (m - gm)) + SUM(n * vp))', 4)} AS eta_squared
+    {rd('SUM(n * (m - gm) * (m - gm)) / (SUM(n * (m - gm) * (m - gm)) + SUM(n * vp))', digits)} AS eta_squared
     FROM (SELECT COUNT(*) AS n, AVG(CAST({v} AS DOUBLE)) AS m, VAR_POP(CAST({v} AS DOUBLE)) AS vp,
       (SELECT AVG(CAST({v} AS DOUBLE)) FROM wide) AS gm FROM wide GROUP BY {g})"""
 
@@ -151,16 +151,18 @@ def _(w):
 
 @query(
     "t10b_test_statistics",
-    f"""SELECT 'chi2' AS family, variable, {rd('chi2', 2)} AS statistic, {rd('v', 4)} AS effect FROM chiv
-    UNION ALL SELECT 't', variable, {rd('diff / se', 3)}, {rd('d', 3)} FROM tst
+    f"""SELECT 'chi2' AS family, variable, {rd('chi2', 2)} AS statistic, {rd('v', 3)} AS effect FROM chiv
+    UNION ALL SELECT 't', variable, {rd('diff / se', 2)}, {rd('d', 3)} FROM tst
     UNION ALL SELECT 'F', value_variable || ' by ' || group_variable, f_stat, eta_squared
-    FROM ({" UNION ALL ".join(_anova(g, v) for g, v in H.ANOVAS)})""",
+    FROM ({" UNION ALL ".join(_anova(g, v, 3) for g, v in H.ANOVAS)})""",
     CHI,
     WELCH,
 )
 def _(w):
     """The suite without its p-values, which SQL has no function for."""
-    cols = [F.col(c).cast("double").alias(c) for c in ("statistic", "effect")]
+    cols = [
+        H.rounded(F.col(c), n).cast("double").alias(c) for c, n in (("statistic", 2), ("effect", 3))
+    ]
     return H.suite_rows(w.wide).select("family", "variable", *cols)
 
 

@@ -6,6 +6,7 @@ from retentia.functions.columns import ladder, mean, one_of, pct, rounded
 from retentia.operators.kpis import whole
 from retentia.operators.star import star_view
 from retentia.schema import CONTRACT_POINTS, CONTRACT_POINTS_OTHER
+from retentia.sources import upsert
 
 # The weights 0.40, 0.25, 0.20 and 0.15 and the divisors 72 and 6 become whole numbers when the
 # score is counted in 720ths; tiers are then decided without rounding error.
@@ -149,11 +150,11 @@ class InvalidUpdates(ValueError):
     pass
 
 
-def update_churn_scores(star, updates):
-    """New fact with the scores of `updates` (customer_id, churn_score) applied.
+def checked_updates(star, updates):
+    """(customer_key, churn_score) of updates (customer_id, churn_score).
 
     Ids missing from the customer dimension, ids that come twice and scores that are null or
-    outside 0 to 100 are errors; nothing is changed then.
+    outside 0 to 100 are errors.
     """
     bad = updates.agg(
         F.count_if(~F.coalesce(F.col("churn_score").between(0, 100), F.lit(False))).alias("scores"),
@@ -171,10 +172,24 @@ def update_churn_scores(star, updates):
     if n:
         some = [r.customer_id for r in unknown.limit(20).collect()]
         raise UnknownCustomers(f"{n} unknown customers, among them {some}")
-    new = known.select("customer_key", F.col("churn_score").alias("_new"))
+    return known.select("customer_key", "churn_score")
+
+
+def update_churn_scores(star, updates):
+    """New fact with the scores of `updates` applied; nothing is stored (see `checked_updates`)."""
+    new = checked_updates(star, updates).withColumnRenamed("churn_score", "_new")
     fact = star.fact_subscription
     return (
         fact.join(new, "customer_key", "left")
         .withColumn("churn_score", F.coalesce("_new", "churn_score").cast("int"))
         .select(*fact.columns)
     )
+
+
+def store_churn_scores(star, root, updates):
+    """Apply `updates` to the fact stored in a folder, rewriting only the files that hold them.
+
+    Returns the numbers of rewritten and of kept files.
+    """
+    spark = updates.sparkSession
+    return upsert.upsert(spark, root, checked_updates(star, updates), "customer_key", ["churn_flag"])
