@@ -17,7 +17,9 @@ an empty one.
 import base64
 import hashlib
 import heapq
+import uuid
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -115,31 +117,38 @@ class Vocabulary:
         return cls({base64.b64decode(token): int(rank) for token, rank in pairs}, pattern)
 
     def merged(self, piece):
-        """Ranks of a byte string that is no token itself."""
-        ranks, n = self.ranks, len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # linked part starts
-
-        def pair(left):
-            right = after[left]
-            return ranks.get(piece[left : after[right]]) if right < n else None
-
-        heap = [(rank, left, left + 2) for left in range(n - 1) if (rank := pair(left)) is not None]
+        """Ranks of a byte string that is no token itself.
+
+        `after` and `before` link the starts of the parts; `pairs` holds, at each start, the rank of
+        that part joined with the next. A heap entry is a rank and a start in one number, and is
+        stale if the pair at that start has another rank by now.
+        """
+        get, n = self.ranks.get, len(piece)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        pairs = [get(piece[i : i + 2]) for i in range(n - 1)] + [None]
+        heap = [rank << 32 | i for i, rank in enumerate(pairs) if rank is not None]
         heapq.heapify(heap)
-        gone = bytearray(n)
         while heap:
-            _, left, end = heapq.heappop(heap)
-            if gone[left] or after[left] >= n or after[after[left]] != end:
-                continue  # one of the parts has been joined since
+            entry = heapq.heappop(heap)
+            left = entry & 0xFFFFFFFF
+            if pairs[left] != entry >> 32:
+                continue
             right = after[left]
-            gone[right], after[left] = 1, end
+            end = after[left] = after[right]
+            pairs[right] = pairs[left] = None
             if end < n:
                 before[end] = left
-            for start in (before[left], left):
-                if start >= 0 and (rank := pair(start)) is not None:
-                    heapq.heappush(heap, (rank, start, after[after[start]]))
+                rank = pairs[left] = get(piece[left : after[end]])
+                if rank is not None:
+                    heapq.heappush(heap, rank << 32 | left)
+            start = before[left]
+            if start >= 0:
+                rank = pairs[start] = get(piece[start:end])
+                if rank is not None:
+                    heapq.heappush(heap, rank << 32 | start)
         out, start = [], 0
         while start < n:
-            out.append(ranks[piece[start : after[start]]])
+            out.append(self.ranks[piece[start : after[start]]])
             start = after[start]
         return out
 
@@ -160,7 +169,7 @@ class Encoder:
         raw = [p.encode() for p in new]
         for piece, data, rank in zip(new, raw, self.vocabulary.whole.find(raw).tolist()):
             ids = [rank] if rank >= 0 else self.vocabulary.merged(data)
-            self.known[piece] = np.array(ids, "<u4").tobytes()
+            self.known[piece] = pack(f"<{len(ids)}I", *ids)
 
     def _packed(self, text):
         if len(text) <= LONG_TEXT:
@@ -189,6 +198,16 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
 
 
+_ENCODERS = {}  # of this Python worker: what one task has learned serves the next
+
+
+def _encoder(name, shared):
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(shared.value)
+    return _ENCODERS[name]
+
+
 def encoded(docs, vocabulary, keep=("doc_id",), text="text"):
     """The kept columns and `ids`, the ranks of the whole text as an array of int."""
     bounded_batches(docs.sparkSession)
@@ -197,8 +216,10 @@ def encoded(docs, vocabulary, keep=("doc_id",), text="text"):
     ids_field = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
     schema = T.StructType([*rows.schema.fields[:-1], ids_field])
 
+    name = uuid.uuid4().hex
+
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = _encoder(name, shared)
         for batch in batches:
             ids = encoder.encode(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], [*keep, "ids"])
