@@ -65,20 +65,25 @@ def unescape(text, template=Template()):
 
 
 def merge(turns):
-    """Adjacent turns of one role as one (role, texts), by an array aggregation."""
-    empty = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
-
-    def step(done, turn):
-        last = F.try_element_at(done, F.lit(-1))
-        rest = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        joined = F.struct(
-            last["role"].alias("role"), F.array_append(last["texts"], turn["text"]).alias("texts")
-        )
-        fresh = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        same = (F.size(done) > 0) & (last["role"] == turn["role"])
-        return F.when(same, F.array_append(rest, joined)).otherwise(F.array_append(done, fresh))
+    """Adjacent turns of one role as one (role, texts): where blocks start, then slices of texts.
 
-    return F.aggregate(turns, empty, step)
+    Linear in the turns: no array is copied from turn to turn.
+    """
+    # get() is null before the first turn, which starts a block
+    starts = F.filter(
+        F.transform(
+            turns,
+            lambda t, i: F.when(
+                (i > 0) & (F.get(turns, i - 1)["role"] == t["role"]), F.lit(None)
+            ).otherwise(i + 1)),
+        lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))),
+                    F.array(F.size(turns) + 1))
+    return F.transform(
+        F.arrays_zip(starts.alias("at"), ends.alias("end")),
+        lambda b: F.struct(
+            F.get(turns, b["at"] - 1)["role"].alias("role"),
+            F.slice(turns, b["at"], b["end"] - b["at"])["text"].alias("texts")))
 
 
 def format_chats(df, template=Template()):
