@@ -198,7 +198,9 @@ def fit(docs, labels, model=Model()):
     # at most 2 * per_label ids, so the broadcast is bounded
     sample = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).join(
         F.broadcast(chosen), "doc_id")
-    rows = sample.select(F.col("label").cast("int").alias("label"), "doc_id", "text")
+    # one text per id, the least, so that repeated ids send no more than one bag
+    rows = sample.groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("label").cast("int").alias("label"))
     packed = rows.select("label", "text").mapInArrow(
         _packed(model), "label int, buckets binary, weights binary")
     # one row after the other: at most 2 * per_label bags of at most `buckets` numbers
