@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from checks.oracle import CHURNED, N, RATE, avg, big, dbl, mean, pct, rd
 from checks.queries_kpi import DECILES, LOST, SEGMENT
 from checks.registry import query
-from retentia.operators import explore as E, measures as M, search as P
+from retentia.operators import explore as E, measures as M, search as P, substring
 from retentia.operators.kpis import rfm_scores
 from retentia.operators.star import star_view
 from retentia.schema import ADDONS, COHORTS, CONTRACTS
+from retentia.sources.staging import new_path
 
 _CHURN_RATIO = rd("CAST(SUM(churn_flag) AS DOUBLE) / COUNT(*)", 6)
 _KEEP = rd("1 - CAST(SUM(churn_flag) AS DOUBLE) / COUNT(*)", 6)
@@ -600,6 +601,24 @@ def _(w):
     return P.search_subscribers(found, term="7").select(*P.RESULT_COLUMNS)
 
 
+def _index(df, column):
+    root = new_path(df.sparkSession, f"trigrams-{column}")
+    substring.build(df, column, root)
+    return substring.Index(df.sparkSession, root)
+
+
+@query(
+    "f1c_search_by_index",
+    f"""SELECT {_RESULT} FROM wide WHERE customer_id ILIKE '%r#00000%37%' AND customer_id ILIKE '%37%'
+    AND contract_type IN ('Month-to-month', 'Two year') AND tenure_months BETWEEN 10 AND 70""",
+)
+def _(w):
+    ids = _index(w.wide, "customer_id")
+    found = P.search_subscribers(
+        w.wide, term="R#00000", contracts=["Month-to-month", "Two year"], tenure=(10, 70), index=ids)
+    return P.search_subscribers(found, term="37", index=ids).select(*P.RESULT_COLUMNS)
+
+
 @query("f2_page", f"SELECT {_RESULT} FROM wide ORDER BY customer_id LIMIT 15 OFFSET 30")
 def _(w):
     return P.page(w.wide, number=3)
@@ -639,6 +658,16 @@ def _(w):
     return P.search_cities(w.wide, rate=(20.0, 45.0), term="nation_1")
 
 
+@query(
+    "f4b_cities_by_index",
+    """SELECT city, customers, churn_rate_pct, total_revenue, avg_cltv FROM city_stats
+    WHERE customers >= 5 AND city ILIKE '%tion_1%'""",
+    _CITY,
+)
+def _(w):
+    return P.search_cities(w.wide, min_n=5, term="TION_1", index=_index(w.wide, "city"))
+
+
 @query(
     "f5_search_plans",
     f"""SELECT {N} AS customers, {RATE} AS churn_rate_pct, {avg('monthly_charges')} AS avg_monthly_charges

@@ -6,6 +6,7 @@ from retentia.functions.columns import churn_rate, customers, mean, rfm_label, r
 from retentia.operators.explore import city_stats
 from retentia.operators.kpis import RFM_VALUES
 from retentia.operators.ranks import with_tiles
+from retentia.operators.substring import holding
 
 RESULT_COLUMNS = [
     "customer_id",
@@ -28,11 +29,15 @@ def _holds(column, term):
 
 
 def search_subscribers(
-    df, term=None, status=None, contracts=None, internet=None, payment=None, tenure=None, charges=None
+    df, term=None, status=None, contracts=None, internet=None, payment=None, tenure=None, charges=None,
+    index=None,
 ):
-    """Filters that are not given let everything pass. status is 'churned' or 'retained'."""
+    """Filters that are not given let everything pass. status is 'churned' or 'retained'.
+
+    index: a `substring.Index` of customer_id; without one the term is tested on every row.
+    """
     if term:
-        df = df.where(_holds("customer_id", term))
+        df = holding(df, "customer_id", index, term) if index else df.where(_holds("customer_id", term))
     if status:
         df = df.where(F.col("churn_flag") == (1 if status == "churned" else 0))
     for column, allowed in (
@@ -85,7 +90,10 @@ def versus_average(df, ids):
     )
 
 
-def search_cities(df, min_n=30, rate=(0.0, 100.0), term=None):
+def search_cities(df, min_n=30, rate=(0.0, 100.0), term=None, index=None):
+    """index: a `substring.Index` of city, so that only customers of the found cities are read."""
+    if term and index:
+        df, term = holding(df, "city", index, term), None
     found = city_stats(df).where(
         (F.col("customers") >= min_n) & F.col("churn_rate_pct").between(*rate)
     )
