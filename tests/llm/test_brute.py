@@ -199,6 +199,8 @@ def test_quality_limit(spark):
         "stratum").agg({"lost": "avg"}).collect()
     # the limit holds for the rate behind the sample: 0.05, and what chance adds to it
     assert good and all(r[1] <= 0.08 for r in good), good
+    every = rows.join(labels, "doc_id")
+    assert every.where("not kept").count() <= 0.05 * every.count()
 
 
 def test_mix_meets_targets(spark):
