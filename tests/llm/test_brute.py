@@ -12,7 +12,7 @@ import pytest
 from retentia.llm import (
     decontaminate, html_extract, lm_score, mixing, near_join, pii, quality_rules, toxicity,
 )
-from retentia.llm.common import connected, load
+from retentia.llm.common import connected, hash_words, load
 from retentia.llm.queries import QUERIES
 from tests.conftest import SMALL
 
@@ -144,35 +144,69 @@ def test_windows_hold_every_stretch():
 
 
 def test_lm(spark, texts):
+    """Every document against the counts of all others, token by token."""
+    models = lm_score.Models()
     good = {r.doc_id for r in load(spark, SMALL, "labels").collect() if r.quality == 1}
-    n, t = collections.Counter(), collections.Counter()
-    marks = "\U0010ffff\U0010ffff"
-    grams = {i: [(marks + x)[k : k + 3] for k in range(len(x))] for i, x in texts.items()}
-    for i, g in grams.items():
-        n.update(g)
-        if i in good:
-            t.update(g)
-    size, w = len({g[2] for g in n}), lm_score.Models().weights
-
-    def losses(c):
-        ab, bc, b, last = (collections.Counter() for _ in range(4))
-        for g, k in c.items():
-            ab[g[:2]] += k
-            bc[g[1:]] += k
-            b[g[1]] += k
-            last[g[2]] += k
-        share = lambda x, y: x / y if y else 0.0
-        total = sum(c.values())
-        return {
-            g: -math.log(w[0] * share(c[g], ab[g[:2]]) + w[1] * share(bc[g[1:]], b[g[1]])
-                         + w[2] * last[g[2]] / total + w[3] / size) for g in n}
-
-    of_n, of_t = losses(n), losses(t)
+    words = {i: WORD.findall(x) for i, x in texts.items()}
+    total = collections.Counter(w for x in words.values() for w in x)
+    known = sorted(total)
+    order = dict(zip(known, hash_words(pa.array(known)).view(np.int64)))
+    classes = set(sorted(known, key=lambda w: (-total[w], order[w]))[: models.classes])
+    size, rest = len(classes) + 1, len(known) - len(classes)
+    of = {i: [w if w in classes else None for w in x] for i, x in words.items()}
+
+    def counted(ids):
+        c = collections.Counter()
+        for i in ids:
+            for before, now, w in zip(["<"] + of[i], of[i], words[i]):
+                c.update([("pair", before, now), ("before", before), ("class", now), "all",
+                          ("word", w)])
+        return c
+
+    everyone, target = counted(words), counted(i for i in words if i in good)
+
+    def loss(i, c):
+        out = 0
+        for before, now, w in zip(["<"] + of[i], of[i], words[i]):
+            share = lambda x, y: c[x] / c[y] if c[y] else 0.0
+            two, one, floor = models.weights
+            p = (two * share(("pair", before, now), ("before", before))
+                 + one * share(("class", now), "all") + floor / size)
+            if now is None:
+                p *= (1 - models.floor) * share(("word", w), ("class", None)) + models.floor / rest
+            out -= math.log(p)
+        return out
+
+    def without(c, own):
+        c = c.copy()
+        c.subtract(own)
+        return c
+
     got = {r.doc_id: r for r in QUERIES["op5_lm_score"](spark, SMALL).collect()}
-    for i, g in grams.items():
-        if g:
-            want = sum(of_t[x] - of_n[x] for x in g) / len(g)
-            assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].n_tokens == len(g)
+    assert len(got) == len(words)
+    some = [i for i in sorted(words) if words[i]][::5]
+    assert {i in good for i in some} == {True, False}
+    for i in some:
+        own, n = counted([i]), len(words[i])
+        b = loss(i, without(everyone, own)) / n
+        t = loss(i, without(target, own) if i in good else target) / n
+        assert got[i].n_tokens == n
+        assert got[i].background_loss == pytest.approx(b, abs=1e-9)
+        assert got[i].target_loss == pytest.approx(t, abs=1e-9)
+        assert got[i].score == pytest.approx(t - b, abs=1e-9)
+
+
+def test_lm_tells_wording_apart(spark):
+    """Documents of one topic score below those of another that is spelt alike."""
+    topics = ["stone river bridge water", "nesto verir gebrid retaw"]
+    rng, rows = np.random.default_rng(5), []
+    for i in range(200):
+        own, shared = topics[i % 2].split(), "the of and to in".split()
+        rows.append((i, " ".join(rng.choice(own + shared, 60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.scored(docs, docs.where("doc_id % 2 = 0 AND doc_id < 50").select("doc_id"))
+    score = {r.doc_id: r.score for r in got.collect()}
+    assert max(score[i] for i in range(50, 200, 2)) < min(score[i] for i in range(51, 200, 2))
 
 
 def test_lm_without_hot_table(spark, texts):

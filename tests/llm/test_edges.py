@@ -94,8 +94,16 @@ def test_lm(spark, docs, labels):
     assert len(got) == len(ROWS)
     by = {r.doc_id: r for r in got}
     assert by[2].score is None and by[3].n_tokens == 0
-    assert by[4].n_tokens == 7 and by[6].n_tokens == len(LONG)
-    assert by[7].score < by[6].score
+    assert by[4].n_tokens == 0 and by[4].score is None and by[6].n_tokens == 60_000
+    # repeated rows are each other's evidence, and so is the row without an id
+    same = [r for r in got if r.n_tokens == 11]
+    assert len(same) == 3 and by[1].score < by[6].score
+    assert by[None].background_loss == pytest.approx(by[1].background_loss)
+    twice = labels.where("quality = 1").select("doc_id")
+    again = {r.doc_id: r.score for r in lm_score.scored(docs, twice.union(twice)).collect()}
+    assert again[1] == pytest.approx(by[1].score)
+    nothing = docs.where("doc_id IN (2, 3, 4)")
+    assert [r.score for r in lm_score.scored(nothing, twice).collect()] == [None] * 3
     assert lm_score.scored(docs, labels.limit(0).select("doc_id")).count() == len(ROWS)
     assert lm_score.scored(empty(spark), labels.select("doc_id")).count() == 0
 
