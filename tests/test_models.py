@@ -274,3 +274,10 @@ def test_tuning_queries_use_the_whole_grid(spark, monkeypatch):
     assert QUERIES["m3_tuning_grid"](spark, SMALL).count() == 27
     QUERIES["m12_churn_pipeline"](spark, SMALL)
     assert len(calls) == 1
+
+
+def test_segmentation_takes_the_judged_models(small, monkeypatch):
+    monkeypatch.setattr(segment, "fit_kmeans", None)  # both sizes were fitted for the table
+    rows = segment.run_segmentation(small.wide, [4, 5], TINY).collect()
+    assert sum(r.choice == "business" for r in rows) == 5
+    assert sum(r.n_customers for r in rows) == 2 * small.wide.count()
