@@ -16,7 +16,7 @@ from retentia.operators.models.prep import (
     with_balanced_weight,
     with_folds,
 )
-from retentia.schema import ADDONS
+from retentia.schema import ADDONS, NO_INTERNET
 from retentia.session import in_parallel
 from retentia.sources.staging import stage
 
@@ -45,6 +45,24 @@ def fit_service(df, service, sizes=Sizes()):
     return fit_pipeline(rows, _forest(sizes), UPSELL)
 
 
+def eligibility(df, services=ADDONS):
+    """Eligible customers and adoption rate per service, from one aggregate and without a fit."""
+    counts = [
+        F.struct(
+            F.lit(s).alias("service"),
+            F.count_if(F.col(s) != NO_INTERNET).alias("n"),
+            F.count_if(F.col(s) == "Yes").alias("held"),
+        )
+        for s in services
+    ]
+    rate = F.try_divide(100.0 * F.col("held"), F.col("n").cast("double"))
+    return df.agg(F.array(*counts).alias("r")).select(F.inline("r")).select(
+        "service",
+        F.col("n").alias("n_eligible_customers"),
+        F.round(rate, 2).alias("current_adoption_rate_pct"),
+    )
+
+
 def service_metrics(df, sizes=Sizes(), services=ADDONS):
     """Eligible customers, adoption rate and cross-validated AUC per service.
 
@@ -64,11 +82,7 @@ def service_metrics(df, sizes=Sizes(), services=ADDONS):
     ]
     scored = stage(reduce(lambda a, b: a.unionByName(b), parts), "held-out")
     areas = auc(scored, TARGET, "score", by=["service", "fold"])
-    sizes_per = scored.groupBy("service").agg(
-        F.count(F.lit(1)).alias("n_eligible_customers"),
-        F.round(100 * F.avg(TARGET), 2).alias("current_adoption_rate_pct"),
-    )
-    return sizes_per.join(
+    return eligibility(df, services).join(
         areas.groupBy("service").agg(
             F.round(F.avg("auc"), 4).alias("cv_roc_auc_mean"),
             F.round(F.stddev_pop("auc"), 4).alias("cv_roc_auc_std"),

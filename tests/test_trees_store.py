@@ -1,5 +1,7 @@
 """Trees as tables, prefix scores, encoded folds, the model store and the value comparison."""
 
+import threading
+
 import duckdb
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from retentia.operators.models import churn, ltv, store, trees, upsell
 from retentia.operators.models.prep import CHURN, LTV, Sizes, encoded_folds, with_folds
+from retentia.session import in_parallel
 
 SMALL = Sizes(
     forest_trees=4, forest_depth=3, boost_rounds=4, boost_depth=2, addon_trees=3, addon_depth=2,
@@ -133,3 +136,22 @@ def test_value_comparison_and_winner(small):
 def test_service_metrics_read_encoded_folds(small):
     got = {r.service: r for r in upsell.service_metrics(small.wide, SMALL).collect()}
     assert all(0 <= r.cv_roc_auc_mean <= 1 for r in got.values())
+
+
+def test_eligibility_fits_nothing(spark, monkeypatch):
+    monkeypatch.setattr(upsell, "_forest", None)
+    rows = [("a", "Yes", "No"), ("b", "No", "No internet service"), ("c", "No internet service", None)]
+    df = spark.createDataFrame(rows, "customer_id string, tech_support string, streaming_tv string")
+    got = upsell.eligibility(df, ["tech_support", "streaming_tv"]).collect()
+    assert [tuple(r) for r in got] == [("tech_support", 2, 50.0), ("streaming_tv", 1, 0.0)]
+
+
+def test_parallel_tasks_have_their_own_properties(spark):
+    together = threading.Barrier(4)
+
+    def task(i):
+        spark.sparkContext.setLocalProperty("retentia.task", str(i))
+        together.wait(60)
+        return spark.sparkContext.getLocalProperty("retentia.task")
+
+    assert in_parallel([lambda i=i: task(i) for i in range(4)], 4) == ["0", "1", "2", "3"]
