@@ -155,3 +155,12 @@ def test_parallel_tasks_have_their_own_properties(spark):
         return spark.sparkContext.getLocalProperty("retentia.task")
 
     assert in_parallel([lambda i=i: task(i) for i in range(4)], 4) == ["0", "1", "2", "3"]
+
+
+def test_walk_scores_are_not_walked_in_sql(rows, boosted, monkeypatch):
+    monkeypatch.setattr(trees, "STRIP", 3)
+    encoded = boosted.transform(rows)
+    got = trees.walk_scores(boosted, encoded, "customer_id")
+    assert "lambda" not in got._jdf.queryExecution().analyzed().toString()
+    own = churn.churn_probability(boosted, rows, "customer_id")
+    assert gap(got, own) == (pytest.approx(0, abs=1e-9), rows.count())
