@@ -13,6 +13,7 @@ from retentia.operators.models.prep import (
     UPSELL,
     Sizes,
     encoded_folds,
+    fit_width,
     with_balanced_weight,
     with_folds,
 )
@@ -68,13 +69,15 @@ def service_metrics(df, sizes=Sizes(), services=ADDONS):
 
     Held-out scores of all services and folds form one staged table.
     """
-    k, encoded = sizes.folds, {}
+    k, encoded, rows = sizes.folds, {}, 0
     for service in services:
         folded = with_folds(training_rows(df, service), TARGET, k)
-        encoded[service], _ = encoded_folds(folded, UPSELL, TARGET, k)
+        encoded[service], n = encoded_folds(folded, UPSELL, TARGET, k)
+        rows = max(rows, n)
     jobs = [(s, f) for s in services for f in range(sizes.folds)]
     models = in_parallel(
-        [lambda s=s, f=f: _forest(sizes).fit(encoded[s][f].train) for s, f in jobs]
+        [lambda s=s, f=f: _forest(sizes).fit(encoded[s][f].train) for s, f in jobs],
+        fit_width(df.sparkSession, rows),
     )
     parts = [
         churn_probability(m, encoded[s][f].held, TARGET, "fold").withColumn("service", F.lit(s))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from retentia.operators.models import churn, ltv, store, trees, upsell
+from retentia.operators.models import churn, ltv, prep, store, trees, upsell
 from retentia.operators.models.prep import CHURN, LTV, Sizes, encoded_folds, with_folds
 from retentia.session import in_parallel
 
@@ -164,3 +164,30 @@ def test_walk_scores_are_not_walked_in_sql(rows, boosted, monkeypatch):
     assert "lambda" not in got._jdf.queryExecution().analyzed().toString()
     own = churn.churn_probability(boosted, rows, "customer_id")
     assert gap(got, own) == (pytest.approx(0, abs=1e-9), rows.count())
+
+
+def test_fewer_fits_at_once_the_more_rows(spark, small, monkeypatch):
+    slots = max(4, min(32, spark.sparkContext.defaultParallelism))
+    assert prep.fit_width(spark, 0) == prep.fit_width(spark, 60_000) == slots
+    assert prep.fit_width(spark, 10_000_000) == 2
+    held, most, lock = [], [], threading.Lock()
+    forest = upsell._forest
+
+    class Counted:
+        def __init__(self, sizes):
+            self.own = forest(sizes)
+
+        def fit(self, rows):
+            with lock:
+                held.append(1)
+                most.append(len(held))
+            try:
+                return self.own.fit(rows)
+            finally:
+                with lock:
+                    held.pop()
+
+    monkeypatch.setattr(upsell, "_forest", Counted)
+    monkeypatch.setattr(prep, "ROWS_PER_TASK", 10)
+    upsell.service_metrics(small.wide, SMALL, ["tech_support", "streaming_tv"])
+    assert max(most) <= 2
