@@ -1,11 +1,16 @@
 """Permutation importance and local explanations, scored for all variants at once."""
 
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from retentia.operators.models.churn import LABEL, churn_probability
 from retentia.operators.models.evaluate import auc
-from retentia.operators.models.prep import CHURN
+from retentia.operators.models.prep import CHURN, Features, slot_places
 from retentia.operators.ranks import global_order
+from retentia.session import in_parallel
+from retentia.sources.staging import stage
 
 
 def _typed(df, features):
@@ -42,35 +47,70 @@ def shuffled(base, df, features, repeat, id_col="customer_id"):
     return base.join(donor, "rn").drop("rn")
 
 
+VECTOR = Features(("x",), ())
+
+
+def encoded_rows(model, df, features=CHURN):
+    """Label and feature vector of each row as an array, encoded once and staged."""
+    rows = _typed(df.select("customer_id", LABEL, *features.columns), features)
+    for step in model.stages[:-1]:
+        rows = step.transform(rows)
+    return stage(rows.select("customer_id", LABEL, vector_to_array("features").alias("x")), "encoded")
+
+
+def _moved(model):
+    """Positions of the vector that can change a score: those some tree splits on, otherwise all."""
+    last = model.stages[-1]
+    if not hasattr(last, "featureImportances"):
+        return range(last.numFeatures)
+    return [i for i, weight in enumerate(last.featureImportances.toArray()) if weight > 0]
+
+
 def permutation_scores(model, df, features=CHURN, repeats=10):
-    """(repeat, feature, label, score) for each feature permuted in each repeat.
+    """(variant, label, score) for each feature permuted in each repeat.
 
-    Feature '' is the unchanged row. All variants of a repeat are scored in one pass.
+    Variant -1 is the unchanged row; the others are the repeat times the number of features plus
+    the feature's place. A feature that changes no score (a single level, or no split on it) has no
+    rows. Rows are encoded once: a feature fills its own slots of the vector, so permuting it
+    permutes these slots.
     """
-    df = _typed(df.select("customer_id", LABEL, *features.columns), features)
-    cols = features.columns
-    base, out = numbered(df), None
-    for repeat in range(repeats):
-        mixed = shuffled(base, df, features, repeat)
-        variants = [_variant(f, cols, f, F.col(f"d_{f}")) for f in cols]
-        variants.append(_variant("", cols, None, None))
-        tall = mixed.select(LABEL, F.explode(F.array(*variants)).alias("v")).select(LABEL, "v.*")
-        scored = churn_probability(model, tall, "feature", LABEL).withColumn(
-            "repeat", F.lit(repeat)
-        )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    encoded = encoded_rows(model, df, features)
+    base, moved = numbered(encoded), set(_moved(model))
+    slots = [moved.intersection(at) for at in slot_places(model, features).values()]
+    mixed = in_parallel(
+        [lambda r=r: shuffled(base, encoded, VECTOR, r) for r in range(repeats)])
+
+    def variant(number, taken):
+        x = F.transform("x", lambda v, i: F.when(i.isin(*taken), F.get("d_x", i)).otherwise(v))
+        return F.struct(
+            F.lit(number).alias("variant"), array_to_vector(x if taken else F.col("x")).alias("features"))
+
+    def tall(repeat):
+        numbers = range(repeat * len(slots), (repeat + 1) * len(slots))
+        variants = [variant(n, taken) for n, taken in zip(numbers, slots) if taken]
+        if repeat == 0:
+            variants.append(variant(-1, ()))
+        return mixed[repeat].select(LABEL, F.inline(F.array(*variants))) if variants else None
+
+    rows = [part for part in map(tall, range(repeats)) if part is not None]
+    return churn_probability(
+        model.stages[-1], reduce(lambda a, b: a.unionByName(b), rows), "variant", LABEL)
 
 
 def permutation_importance(model, df, features=CHURN, repeats=10):
     """Mean and deviation of the AUC lost when a feature is permuted, largest first."""
-    scores = permutation_scores(model, df, features, repeats)
-    areas = auc(scores, LABEL, "score", by=["repeat", "feature"])
-    base = areas.where(F.col("feature") == "").select("repeat", F.col("auc").alias("base"))
-    drop = F.col("base") - F.col("auc")
+    areas = auc(permutation_scores(model, df, features, repeats), LABEL, "score", by=["variant"])
+    areas = stage(areas, "areas")  # a row per variant, read twice
+    names = df.sparkSession.createDataFrame(
+        list(enumerate(features.columns)), "place int, feature string")
+    base = areas.where("variant = -1").select(F.col("auc").alias("base"))
+    permuted = areas.where("variant >= 0").select(
+        (F.col("variant") % len(features.columns)).alias("place"), "auc")
+    # without rows of its own, a feature has the area of the unchanged rows
+    drop = F.col("base") - F.coalesce("auc", "base")
     return (
-        areas.where(F.col("feature") != "")
-        .join(base, "repeat")
+        names.join(permuted, "place", "left")
+        .crossJoin(base)
         .groupBy("feature")
         .agg(
             F.round(F.avg(drop), 5).alias("importance_mean"),

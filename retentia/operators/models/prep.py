@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
     OneHotEncoder,
+    OneHotEncoderModel,
     SQLTransformer,
     StandardScaler,
     StringIndexer,
@@ -131,6 +132,20 @@ def slot_names(levels, features):
     return names
 
 
+def slot_places(model, features):
+    """Positions of each feature in the vector of a fitted pipeline; a single level has none."""
+    sizes = {}
+    for step in model.stages:
+        if isinstance(step, OneHotEncoderModel):
+            sizes = dict(zip(step.getInputCols(), step.categorySizes))
+    places, at = {}, 0
+    for c in features.columns:
+        width = 1 if c in features.numeric else sizes.get(f"{c}_index", 1) - 1
+        places[c] = list(range(at, at + width))
+        at += width
+    return places
+
+
 def stratified_position(df, label, id_col="customer_id"):
     """Add `_pos` (1..n inside each label, in hash order of the id) and `_label_n`.
 

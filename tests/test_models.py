@@ -20,6 +20,7 @@ from retentia.operators.models.prep import (
     category_levels,
     encoding_stages,
     slot_names,
+    slot_places,
     stratified_position,
     training_folds,
     with_folds,
@@ -171,6 +172,23 @@ def test_unused_feature_has_no_permutation_loss(small, fitted):
     assert idle and all(out[c].importance_mean == 0 for c in idle)
 
 
+def test_permuted_vectors_score_as_permuted_rows(small, fitted):
+    _, test, model = fitted
+    got = explain.permutation_scores(model, test, repeats=2)
+    rows = test.withColumns({c: F.col(c).cast("double") for c in CHURN.numeric})
+    mixed = explain.shuffled(explain.numbered(rows), rows, CHURN, 1)
+    for place, name in ((0, "tenure_months"), (len(CHURN.numeric), "contract_type")):
+        one = mixed.withColumn(name, F.col(f"d_{name}"))
+        want = churn.churn_probability(model, one, churn.LABEL)
+        same = got.where(F.col("variant") == len(CHURN.columns) + place).drop("variant")
+        assert sorted(want.collect()) == sorted(same.collect()) or not same.count()
+    # unchanged rows are scored once, and nothing is scored for features without a split
+    weights = model.stages[-1].featureImportances.toArray()
+    used = sum(any(weights[i] > 0 for i in at) for at in slot_places(model, CHURN).values())
+    assert got.where("variant = -1").count() == test.count()
+    assert got.count() == test.count() * (1 + 2 * used)
+
+
 def test_shuffle_keeps_the_values(many_ranges, small):
     feats = Features(("tenure_months",), ("gender",))
     rows = small.wide.select("customer_id", "tenure_months", "gender")
