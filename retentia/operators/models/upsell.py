@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import rounded
 from retentia.operators.features import eligible_for
+from retentia.operators.models import store
 from retentia.operators.models.churn import churn_probability, fit_pipeline
 from retentia.operators.models.evaluate import auc
 from retentia.operators.models.prep import (
@@ -43,7 +44,16 @@ def training_rows(df, service):
 
 def fit_service(df, service, sizes=Sizes()):
     rows = with_balanced_weight(training_rows(df, service), TARGET)
-    return fit_pipeline(rows, _forest(sizes), UPSELL)
+    return store.fit_once(rows, _forest(sizes), UPSELL, fit_pipeline)
+
+
+def fit_services(df, sizes=Sizes(), services=ADDONS):
+    """The final model of each service, stored or loaded; fits over many rows run fewer at once."""
+    models = in_parallel(
+        [lambda s=s: fit_service(df, s, sizes) for s in services],
+        fit_width(df.sparkSession, df.count()),
+    )
+    return dict(zip(services, models))
 
 
 def eligibility(df, services=ADDONS):

@@ -257,6 +257,20 @@ def test_recommendations_skip_holders_and_churned(small):
     assert out.count() == want.count()
 
 
+def test_addon_models_are_stored(small, monkeypatch):
+    fits, fit = [], upsell.fit_pipeline
+
+    def counted(*args):
+        fits.append(args)
+        return fit(*args)
+
+    monkeypatch.setattr(upsell, "fit_pipeline", counted)
+    sizes, services = Sizes(addon_trees=3, addon_depth=2, seed=7), ["tech_support", "online_backup"]
+    for _ in range(2):
+        models = upsell.fit_services(small.wide, sizes, services)
+    assert list(models) == services and len(fits) == 2
+
+
 def test_logit_against_newton_steps(spark):
     rnd = random.Random(5)
     rows = []
