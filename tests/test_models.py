@@ -257,7 +257,7 @@ def test_recommendations_skip_holders_and_churned(small):
     assert out.count() == want.count()
 
 
-def test_addon_models_are_stored(small, monkeypatch):
+def test_addon_models_are_stored(small, monkeypatch, tmp_path):
     fits, fit = [], upsell.fit_pipeline
 
     def counted(*args):
@@ -265,6 +265,7 @@ def test_addon_models_are_stored(small, monkeypatch):
         return fit(*args)
 
     monkeypatch.setattr(upsell, "fit_pipeline", counted)
+    monkeypatch.setattr(upsell.store, "shared_dir", lambda spark: str(tmp_path))  # an empty store
     sizes, services = Sizes(addon_trees=3, addon_depth=2, seed=7), ["tech_support", "online_backup"]
     for _ in range(2):
         models = upsell.fit_services(small.wide, sizes, services)
