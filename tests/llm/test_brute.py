@@ -209,6 +209,31 @@ def test_lm_tells_wording_apart(spark):
     assert max(score[i] for i in range(50, 200, 2)) < min(score[i] for i in range(51, 200, 2))
 
 
+def test_lm_marks_move_no_text(spark):
+    docs = spark.range(0, 20_000, 1, 3).selectExpr(
+        "nullif(id % 9000, 17) AS doc_id", "concat('text of row ', id) AS text")
+    ids = spark.range(100).selectExpr("CAST(id * 7 AS BIGINT) AS doc_id").unionByName(
+        spark.createDataFrame([(7,), (None,), (17,), (99_999,)], "doc_id long"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        rows = lm_score.marked_rows(docs, ids)
+        # the only exchange is that of the marks
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert [x for x in re.findall(r"Exchange (.*)", plan) if "_block" not in x] == []
+        assert len(re.findall(r"Exchange", plan)) == 1 and "Bucketed: true" in plan
+        got = rows.collect()
+    finally:
+        spark.conf.set(key, before)
+    target = {i * 7 for i in range(100)} - {17}
+    assert len(got) == len({r._row for r in got}) == 20_000
+    assert all(r._target == (r.doc_id in target) for r in got)
+    assert sum(r._target for r in got) == 3 * sum(i < 2000 for i in target) + 2 * sum(
+        2000 <= i for i in target)
+    assert {r._text for r in got} == {f"text of row {i}" for i in range(20_000)}
+
+
 def test_lm_without_hot_table(spark, texts):
     docs, labels = load(spark, SMALL, "documents"), load(spark, SMALL, "labels")
     cold = lm_score.Models(hot_share=2.0)
