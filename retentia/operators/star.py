@@ -47,8 +47,13 @@ class Star:
 
 
 def first_per_key(df, key, rest):
-    """One row per key with the smallest combination of the other columns."""
-    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(*key, "r.*")
+    """One row per key with the smallest combination of the other columns.
+
+    Equal rows are hashed together first, as a minimum of structs sorts what it reads. The planner
+    merges a plain distinct into the minimum; the filter on the count keeps it from that.
+    """
+    few = df.groupBy(*key, *rest).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    return few.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(*key, "r.*")
 
 
 def number_rows(df, key, name):
@@ -70,8 +75,7 @@ def build_dim_customer(wide):
 
 def build_dim_geography(wide):
     rest = ["country", "state", "latitude", "longitude"]
-    few = wide.select("city", "zip_code", *rest).distinct()  # hashed before the struct minimum
-    dim = first_per_key(few, ["city", "zip_code"], rest)
+    dim = first_per_key(wide, ["city", "zip_code"], rest)
     dim = dim.select("country", "state", "city", "zip_code", "latitude", "longitude")
     return number_rows(dim, ["city", "zip_code"], "geography_key")
 
@@ -87,7 +91,7 @@ def plan_columns(wide):
 
 def build_dim_plan(wide):
     dim = plan_columns(wide).select(*SERVICE_PLAN_COLUMNS, "contract_based_risk_tier")
-    dim = first_per_key(dim.distinct(), SERVICE_PLAN_COLUMNS, ["contract_based_risk_tier"])
+    dim = first_per_key(dim, SERVICE_PLAN_COLUMNS, ["contract_based_risk_tier"])
     return number_rows(dim, SERVICE_PLAN_COLUMNS, "plan_key")
 
 
