@@ -35,21 +35,26 @@ def _long(one_row, names, key, value):
 def compare_keys(primary, cross, key="CustomerID", cross_key="customerID"):
     """Row counts, distinct ids and the difference of the id sets, in one row.
 
-    Ids are counted per side first, so the full outer join sees each id once however often it
-    repeats.
+    Ids of both sides are counted in one grouping, however often they repeat. A null id has no
+    partner on the other side.
     """
-    a = primary.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("a"))
-    b = cross.groupBy(F.col(cross_key).alias("id")).agg(F.count(F.lit(1)).alias("b"))
-    both = a.join(b, "id", "full_outer")
-    in_a, in_b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    side = lambda df, c, a, b: df.select(F.col(c).alias("id"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = (
+        side(primary, key, 1, 0)
+        .unionByName(side(cross, cross_key, 0, 1))
+        .groupBy("id")
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    )
+    in_a, in_b = F.col("a") > 0, F.col("b") > 0
+    alone = F.col("id").isNull() | (in_a != in_b)
     return both.agg(
         F.coalesce(F.sum("a"), F.lit(0)).alias("primary_row_count"),
         F.coalesce(F.sum("b"), F.lit(0)).alias("cross_ref_row_count"),
         F.count_if(in_a).alias("primary_unique_ids"),
         F.count_if(in_b).alias("cross_ref_unique_ids"),
-        F.count_if(in_a & ~in_b).alias("ids_only_in_primary"),
-        F.count_if(in_b & ~in_a).alias("ids_only_in_cross_ref"),
-        (F.count_if(in_a != in_b) == 0).alias("ids_match_exactly"),
+        F.count_if(in_a & alone).alias("ids_only_in_primary"),
+        F.count_if(in_b & alone).alias("ids_only_in_cross_ref"),
+        (F.count_if(alone) == 0).alias("ids_match_exactly"),
     )
 
 
