@@ -209,6 +209,20 @@ def test_lm_tells_wording_apart(spark):
     assert max(score[i] for i in range(50, 200, 2)) < min(score[i] for i in range(51, 200, 2))
 
 
+def test_lm_sees_the_order_of_rare_words(spark, monkeypatch):
+    """Pairs of words count for every word of the vocabulary, over blocks of a few rows."""
+    monkeypatch.setattr(lm_score, "BLOCK", 5 * lm_score.ROW)
+    common = " ".join(f"c{k}" for k in range(255))
+    word = [f"w{k}" for k in range(800)]
+    rare = [[word[(7 * i + j) % 800] for j in range(40)] for i in range(300)]
+    rows = [(i, f"{common} {' '.join(x)}") for i, x in enumerate(rare)]
+    rows += [(300 + i, f"{common} {' '.join(reversed(rare[i]))}") for i in range(0, 300, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.scored(docs, docs.where("doc_id < 300 AND doc_id % 10 <> 0").select("doc_id"))
+    score = {r.doc_id: r.score for r in got.collect()}
+    assert all(score[i] + 0.001 < score[300 + i] for i in range(0, 300, 10))
+
+
 def test_lm_marks_move_no_text(spark):
     docs = spark.range(0, 20_000, 1, 3).selectExpr(
         "nullif(id % 9000, 17) AS doc_id", "concat('text of row ', id) AS text")
