@@ -329,3 +329,36 @@ def test_segmentation_takes_the_judged_models(small, monkeypatch):
     rows = segment.run_segmentation(small.wide, [4, 5], TINY).collect()
     assert sum(r.choice == "business" for r in rows) == 5
     assert sum(r.n_customers for r in rows) == 2 * small.wide.count()
+
+
+@pytest.mark.parametrize("most_runs", [1, 24])
+def test_silhouette_sums_travel_packed(spark, monkeypatch, most_runs):
+    """Equal, single and tiny-distance points over many small blocks, strips and parts."""
+    for name, value in (("BLOCK", 8), ("STRIP", (3, 5)), ("PART", 4), ("MOST_RUNS", most_runs)):
+        monkeypatch.setattr(segment, name, value)
+    rnd = random.Random(4)
+    rows = []
+    for i in range(90):
+        x = [rnd.gauss(0, 1), rnd.gauss(50, 3)]
+        labels = [int(x[0] > 0), min(2, int(x[1]) // 3 % 3), 0 if i else 1]
+        rows += [(x, labels)] * rnd.choice([1, 1, 3])
+    rows.append(([rows[0][0][0] + 1e-7, rows[0][0][1]], rows[0][1]))
+    rows = [(i, x, labels) for i, (x, labels) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, labels array<int>")
+    x = np.array([r[1] for r in rows])
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    got = {r.k: r.silhouette for r in segment.euclidean_silhouettes(df).collect()}
+    for k in range(3):
+        of = np.array([r[2][k] for r in rows])
+        want = []
+        for i in range(len(rows)):
+            mates = (of == of[i]).sum() - 1
+            near = far[i, of == of[i]].sum() / mates if mates else None
+            other = min(far[i, of == c].mean() for c in set(of) - {of[i]})
+            want.append((other - near) / max(near, other) if mates else 0.0)
+        assert got[k] == pytest.approx(np.mean(want), abs=1e-7)
+    points = df.groupBy("x", "labels").count().withColumnRenamed("count", "n")
+    per = segment._block_sums(points, [2, 3, 2])
+    # one row per point comes from the packed parts of its block, none per point and pair
+    assert per.count() == points.count()
+    assert "FlatMapGroupsInArrow" in per._jdf.queryExecution().executedPlan().toString()
